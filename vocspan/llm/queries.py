@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocspan.llm import lookalike, transcripts
+from vocspan.llm import lookalike, overlap, transcripts
 from vocspan.session import table
 
 P1_FIELDS = ["text", "generated_text", "generated_text_ft"]
@@ -28,6 +28,15 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.turns(table(spark, sf_dir, "ycsep_static"), with_text=True).orderBy("file", "start_ms", "first_row")
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_turns": p2_turns}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "ycsep_static"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps counted per split, channel and file, with the coverage of the records."""
+    return overlap.report(table(spark, sf_dir, "ycsep_static"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_report": p3_report}
 #: SQL has neither the normal forms nor the patterns these need; tests compare them with brute force.
 ORACLE: dict[str, str] = {}
