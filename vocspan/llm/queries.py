@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocspan.llm import lookalike, overlap, transcripts
+from vocspan.llm import lookalike, mixing, overlap, packing, splits, transcripts
 from vocspan.session import table
 
 P1_FIELDS = ["text", "generated_text", "generated_text_ft"]
@@ -37,6 +37,49 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(table(spark, sf_dir, "ycsep_static"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_report": p3_report}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.same_recording(table(spark, sf_dir, "ycsep_static"))
+
+
+def p5_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new split of every row."""
+    return splits.assign_rows(table(spark, sf_dir, "ycsep_static"), table(spark, sf_dir, "split_targets"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by the new splits."""
+    return splits.shares(table(spark, sf_dir, "ycsep_static"), table(spark, sf_dir, "split_targets"))
+
+
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "pack_limits").first()["capacity_tokens"]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.found(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text or piece."""
+    return packing.pack(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    capacity = _capacity(spark, sf_dir)
+    return packing.fill_report(packing.pack(table(spark, sf_dir, "documents"), capacity), capacity)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture in their order."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached per source."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_assigned": p5_assigned, "p5_shares": p5_shares, "p8_found": p8_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 #: SQL has neither the normal forms nor the patterns these need; tests compare them with brute force.
 ORACLE: dict[str, str] = {}
