@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vocspan.llm import lookalike, mixing, overlap, packing, splits, transcripts
+from vocspan.llm import lookalike, mixing, overlap, packing, reading, repetition, splits, transcripts
 from vocspan.session import table
 
 P1_FIELDS = ["text", "generated_text", "generated_text_ft"]
@@ -51,6 +52,21 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.shares(table(spark, sf_dir, "ycsep_static"), table(spark, sf_dir, "split_targets"))
 
 
+def _spoken_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    human = table(spark, sf_dir, "ycsep_static").select("source_row", F.lit("text").alias("field"), "text")
+    model = table(spark, sf_dir, "tdk_subset").select("source_row", F.lit("generated_text").alias("field"), F.col("generated_text").alias("text"))
+    return human.unionByName(model)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.found(_spoken_fields(spark, sf_dir))
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, repeated words and their share in every text."""
+    return repetition.shares(_spoken_fields(spark, sf_dir))
+
+
 def _capacity(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "pack_limits").first()["capacity_tokens"]
 
@@ -80,6 +96,48 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_assigned": p5_assigned, "p5_shares": p5_shares, "p8_found": p8_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade and level of every document."""
+    documents = table(spark, sf_dir, "documents")
+    return reading.score(documents, reading.train(documents, table(spark, sf_dir, "reading_labels")))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and mean grade per source and level, English ones apart."""
+    return p10_levels(spark, sf_dir).groupBy("source", "english", "level").agg(F.count(F.lit(1)).alias("n_documents"), F.avg("grade").alias("mean_grade"))
+
+
+def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors on labelled documents whose source was left out of the training."""
+    model = reading.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    return spark.createDataFrame(model.validation)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_canonical": p1_canonical,
+    "p2_found": p2_found,
+    "p2_turns": p2_turns,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
+    "p5_found": p5_found,
+    "p5_assigned": p5_assigned,
+    "p5_shares": p5_shares,
+    "p6_found": p6_found,
+    "p6_shares": p6_shares,
+    "p8_found": p8_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
+    "p10_profile": p10_profile,
+    "p10_validation": p10_validation,
+}
 #: SQL has neither the normal forms nor the patterns these need; tests compare them with brute force.
 ORACLE: dict[str, str] = {}
