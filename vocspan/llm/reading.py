@@ -28,6 +28,8 @@ MIN_WORDS, HARD_LEVEL = 40, 4
 MAX_LABELS = 10_000
 #: Sources left out in turn; more of them are joined by hash.
 MAX_GROUPS = 12
+#: Least share of English function words; dense academic prose has few.
+MIN_ENGLISH = 0.015
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?。！？]+[\s\"'”’)]*|\n+")
 _VOWELS = re.compile(r"[aeiouy]+")
@@ -65,7 +67,7 @@ def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
     ]
     latin = sum(counts[w] for w in counts if w.isascii())
     en, ms = hit(ENGLISH), hit(MALAY)
-    english = bool(n) and latin / per > 0.5 and en > ms and en >= 0.08 and sum("一" <= c <= "鿿" for c in text) < 0.2 * sum(c.isalpha() for c in text)
+    english = bool(n) and latin / per > 0.5 and en > ms and en >= MIN_ENGLISH and sum("一" <= c <= "鿿" for c in text) < 0.2 * sum(c.isalpha() for c in text)
     hashes = np.fromiter((np.uint64(xxhash.xxh64_intdigest(w)) for w in counts), np.uint64, len(counts)).view(np.int64)
     return features, hashes, np.fromiter(counts.values(), np.int64, len(counts)), english
 
