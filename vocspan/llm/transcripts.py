@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,9 @@ _MARK = re.compile(rf"(?i)[\[(<{{]\s*(?:{_CLOCK}|\d+h\s*\d+m\s*\d+s?)\s*(?:-->\s
 #: Sound notes: [laughter] (applause) {sighs} <noise> *laughs* and anything between notes of music.
 _NOTE = re.compile(r"\(\([^()]*\)\)?|\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*\n]+\*|♪[^♪\n]*♪|[♪♫♩♬#]+(?=\s|$)|[♪♫♩♬]")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+#: Without one of these a text has no label, mark or note.
+_ODD = re.compile(r"[\[(<{*♪♫♩♬#:]|-->|- ")
+_STARTS = frozenset("uhemaUHEMA")
 _SQUEEZE = re.compile(r"(.)\1+")
 #: Hesitation sounds after runs of one letter are squeezed: um uh uhm hm erm er ah ahm mm eh.
 HESITATIONS = frozenset({"um", "uh", "uhm", "hm", "hem", "erm", "er", "ah", "ahm", "m", "mhm", "ehm", "em", "eh", "uhh", "umh", "hum"})
@@ -40,12 +44,13 @@ HESITATIONS = frozenset({"um", "uh", "uhm", "hm", "hem", "erm", "er", "ah", "ahm
 _REAL = frozenset({"m", "hem", "hum", "em", "meh", "eh", "er"})
 
 
+@lru_cache(maxsize=100_000)
 def is_hesitation(word: str) -> bool:
     """um, uh, hmm, erm, ah with any letter drawn out; single letters and words such as hem are words."""
     low = word.lower()
     if low in _REAL:
         return False
-    return len(low) < 24 and low[0] in "uhemaUHEMA" and _SQUEEZE.sub(r"\1", low) in HESITATIONS
+    return len(low) < 24 and low[0] in _STARTS and _SQUEEZE.sub(r"\1", low) in HESITATIONS
 
 
 def head_label(text: str) -> str | None:
@@ -65,18 +70,17 @@ def head_label(text: str) -> str | None:
 
 def clean_text(text: str) -> str:
     """The words said and their punctuation, without labels, time marks, sound notes and hesitations."""
-    text = _CUE.sub(" ", text) if ":" in text or "-" in text or "[" in text or "<" in text or "(" in text else text
-    text = _MARK.sub(" ", text)
-    text = _NOTE.sub(" ", text)
-    return text
+    if not _ODD.search(text):
+        return text
+    return _NOTE.sub(" ", _MARK.sub(" ", _CUE.sub(" ", text)))
 
 
 def spoken_words(text: str | None) -> list[str]:
     """Lower-case words of the speech in a raw text; case, punctuation and the way characters are written are gone."""
     if not text:
         return []
-    said = clean_text(canonical(text))
-    return [w for m in _WORD.finditer(said) if not is_hesitation(w := m.group().casefold().replace("’", "'"))]
+    said = clean_text(canonical(text)).casefold().replace("’", "'")
+    return [w for w in _WORD.findall(said) if w[0] not in _STARTS or not is_hesitation(w)]
 
 
 def spoken_text(text: str | None) -> str:
@@ -112,7 +116,7 @@ def segments(rows: DataFrame, with_text: bool = False) -> DataFrame:
                 speech.append(bool(_WORD.search(words)))
             else:
                 said.append(None)
-                speech.append(any(not is_hesitation(m.group()) for m in _WORD.finditer(clean_text(plain))))
+                speech.append(any(m[0][0] not in _STARTS or not is_hesitation(m[0]) for m in _WORD.finditer(clean_text(plain))))
         return pd.DataFrame({"head": pd.Series(heads, dtype=object), "speech": speech, "said": pd.Series(said, dtype=object)})
 
     seen = timed.withColumn("x", look("text", "label")).filter(F.col("x.speech"))
