@@ -35,22 +35,18 @@ _MARK = re.compile(rf"(?i)[\[(<{{]\s*(?:{_CLOCK}|\d+h\s*\d+m\s*\d+s?)\s*(?:-->\s
 _NOTE = re.compile(r"\(\([^()]*\)\)?|\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*\n]+\*|♪[^♪\n]*♪|[♪♫♩♬#]+(?=\s|$)|[♪♫♩♬]")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 #: Without one of these a text has no label, mark or note.
-_ODD = re.compile(r"[\[(<{*♪♫♩♬#:]|-->|- ")
+_ODD = re.compile(r"[\[(<{*♪♫♩♬#:]|-->|-(?:\s|$)")
 _STARTS = frozenset("uhemaUHEMA")
 _SQUEEZE = re.compile(r"(.)\1+")
-#: Hesitation sounds after runs of one letter are squeezed: um uh uhm hm erm er ah ahm mm eh.
-HESITATIONS = frozenset({"um", "uh", "uhm", "hm", "hem", "erm", "er", "ah", "ahm", "m", "mhm", "ehm", "em", "eh", "uhh", "umh", "hum"})
-#: Words that squeeze to a hesitation and are none.
-_REAL = frozenset({"m", "hem", "hum", "em", "meh", "eh", "er"})
+#: Hesitation sounds after runs of one letter are squeezed: um, uh, hmm, erm, ah and their mixtures.
+HESITATIONS = frozenset({"um", "uh", "uhm", "umh", "hm", "erm", "ehm", "ah", "ahm", "m"})
 
 
 @lru_cache(maxsize=100_000)
 def is_hesitation(word: str) -> bool:
-    """um, uh, hmm, erm, ah with any letter drawn out; single letters and words such as hem are words."""
+    """um, uh, hmm, erm, ah with any letter drawn out; a single letter is a word."""
     low = word.lower()
-    if low in _REAL:
-        return False
-    return len(low) < 24 and low[0] in _STARTS and _SQUEEZE.sub(r"\1", low) in HESITATIONS
+    return 1 < len(low) < 24 and low[0] in _STARTS and _SQUEEZE.sub(r"\1", low) in HESITATIONS
 
 
 def head_label(text: str) -> str | None:
@@ -91,7 +87,7 @@ def spoken_text(text: str | None) -> str:
     said = _WORD.sub(lambda m: "" if is_hesitation(m.group()) else m.group(), said)
     said = re.sub(r"\s+([,.!?;:…]+)", r"\1", re.sub(r"\s+", " ", said))
     said = re.sub(r"([,;:])[,;:. ]*(?=[.!?])|([,;:])(?:\s*[,;:])+", r"\2", said)
-    return said.strip(" ,;:-…") if not _WORD.search(said) else re.sub(r"^[\s,.;:!?…]+", "", said).strip()
+    return re.sub(r"^[\s,.;:!?…]+", "", said).strip() if _WORD.search(said) else ""
 
 
 def segments(rows: DataFrame, with_text: bool = False) -> DataFrame:
