@@ -168,7 +168,8 @@ def turns(rows: DataFrame, with_text: bool = False, parts: int | None = None) ->
     spark = rows.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = ["file", "start_ms", "end_ms", "source_row"]
-    ordered = segments(rows, with_text).repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
+    # The range sort reads its input twice, once for the borders: the texts are cleaned once before.
+    ordered = cut(segments(rows, with_text)).repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
     runs = cut(ordered.mapInPandas(_runs(with_text), _RUN))
     whole = runs.filter(~F.col("edge"))
     # At most two runs per part: their number is bounded by the number of parts, not by the data.
