@@ -10,6 +10,7 @@ whole components, and the members of a bundle are given to splits by the rank of
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import defaultdict
 
 import pandas as pd
@@ -99,50 +100,64 @@ class _Flow:
                 v = self.edges[via[v] ^ 1][0]
 
 
-def solve(bundles: list[tuple[int, str, int]], targets: dict[str, float]) -> list[dict[str, int]]:
-    """Components of each bundle (size, profile, count) that go to each split.
+def quotas(of_profile: dict[str, int], targets: dict[str, float]) -> dict[tuple[str, str], int]:
+    """Rows of every profile that go to every split, by min-cost flow.
 
-    Flow of rows: source - bundle - (split, profile) - split - sink. A quota is free up to its target; beyond it a row costs
-    1 for the profile and 8 for the split. Whole components come from rounding down and placing what is left, largest
-    first, where the split lacks most rows; a last pass moves or swaps components while the deviation shrinks.
+    All bundles of a profile reach its cells (split, profile) at no cost and without limit, so they flow as one: source -
+    profile - cell - split - sink. A quota is free up to its target; beyond it a row costs 1 for the profile and 8 for the
+    split. The network has as many arcs as profiles times splits.
     """
-    names = sorted(targets)
-    total = sum(s * c for s, _, c in bundles)
+    names, profiles, total = sorted(targets), sorted(of_profile), sum(of_profile.values())
     weight = {k: max(0.0, targets[k]) for k in names}
     whole = sum(weight.values()) or 1.0
-    quota = {k: round(total * weight[k] / whole) for k in names}
-    profiles = sorted({p for _, p, _ in bundles})
-    of_profile = defaultdict(int)
-    for s, p, c in bundles:
-        of_profile[p] += s * c
-    first = 2
-    cell = {(k, p): first + i for i, (k, p) in enumerate((k, p) for k in names for p in profiles)}
-    split = {k: first + len(cell) + i for i, k in enumerate(names)}
-    base = first + len(cell) + len(split)
-    flow = _Flow(base + len(bundles))
+    node = {x: i + 2 for i, x in enumerate([*profiles, *((k, p) for k in names for p in profiles), *((k,) for k in names)])}
+    flow = _Flow(len(node) + 2)
+    arcs = {}
+    for p in profiles:
+        flow.add(0, node[p], of_profile[p], 0)
     for k in names:
-        flow.add(split[k], 1, quota[k], 0)
-        flow.add(split[k], 1, total, 8)
+        flow.add(node[k,], 1, round(total * weight[k] / whole), 0)
+        flow.add(node[k,], 1, total, 8)
         for p in profiles:
-            flow.add(cell[k, p], split[k], round(of_profile[p] * weight[k] / whole), 0)
-            flow.add(cell[k, p], split[k], total, 1)
-    arcs = []
-    for i, (s, p, c) in enumerate(bundles):
-        flow.add(0, base + i, s * c, 0)
-        arcs.append({k: flow.add(base + i, cell[k, p], s * c, 0) for k in names if weight[k] > 0})
+            flow.add(node[k, p], node[k,], round(of_profile[p] * weight[k] / whole), 0)
+            flow.add(node[k, p], node[k,], total, 1)
+            if weight[k] > 0:
+                arcs[k, p] = flow.add(node[p], node[k, p], of_profile[p], 0)
     flow.run(0, 1)
-    out, filled, left = [], dict.fromkeys(names, 0), []
-    for (s, _, c), arc in zip(bundles, arcs, strict=True):
-        part = {k: flow.edges[e ^ 1][1] // s for k, e in arc.items()}
-        out.append(part)
+    return {x: flow.edges[e ^ 1][1] for x, e in arcs.items()}
+
+
+def solve(bundles: list[tuple[int, str, int]], targets: dict[str, float]) -> list[dict[str, int]]:
+    """Components of each bundle (size, profile, count) that go to each split.
+
+    The flow gives rows; whole components come from rounding: largest bundles first, each in proportion to what the splits
+    still lack of its profile, rounded down, and what is left over singly to the split that lacks most. A last pass moves or
+    swaps components while the largest deviation shrinks.
+    """
+    if not bundles:
+        return []
+    of_profile: dict[str, int] = defaultdict(int)
+    for s, p, c in bundles:
+        of_profile[p] += s * c
+    lack = quotas(of_profile, targets)
+    names = sorted({k for k, _ in lack})
+    total = sum(of_profile.values())
+    whole = sum(max(0.0, targets[k]) for k in names) or 1.0
+    quota = {k: round(total * targets[k] / whole) for k in names}
+    filled = dict.fromkeys(names, 0)
+    out: list[dict[str, int]] = [{} for _ in bundles]
+    for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], bundles[i][1])):
+        s, p, c = bundles[i]
+        wanting = {k: max(0, lack[k, p]) for k in names}
+        rows = sum(wanting.values()) or 1
+        part = {k: min(c * wanting[k] // rows, wanting[k] // s) for k in names}
+        for _ in range(c - sum(part.values())):
+            k = max(names, key=lambda k: (min(lack[k, p], quota[k] - filled[k]) - part[k] * s, k))
+            part[k] += 1
+        out[i] = part
         for k, n in part.items():
             filled[k] += n * s
-        left += [(s, len(out) - 1)] * (c - sum(part.values()))
-    # Rounding down leaves fewer components of a bundle than there are splits.
-    for s, i in sorted(left, reverse=True):
-        k = max(out[i], key=lambda k: (quota[k] - filled[k] - max(0, s - (quota[k] - filled[k])), k))
-        out[i][k] += 1
-        filled[k] += s
+            lack[k, p] -= n * s
     _improve(bundles, out, filled, quota)
     return out
 
@@ -156,14 +171,14 @@ def _improve(bundles: list[tuple[int, str, int]], out: list[dict[str, int]], fil
         if gap <= 0:
             return
         have = {s: i for i, (s, _, _) in enumerate(bundles) if out[i].get(over, 0) > 0}
-        back = sorted({s: i for i, (s, _, _) in enumerate(bundles) if out[i].get(under, 0) > 0}.items())
+        back = {0: None} | {s: i for i, (s, _, _) in enumerate(bundles) if out[i].get(under, 0) > 0}
+        sizes = sorted(back)
         best, move = gap, None
         for s, i in have.items():
-            if s < 2 * gap and abs(gap - s) < best:
-                best, move = abs(gap - s), (i, None)
-            for t, j in back:
+            at = bisect_left(sizes, s - gap)  # the partner whose size brings the exchange closest to the gap
+            for t in sizes[max(0, at - 1) : at + 1]:
                 if t < s and abs(gap - (s - t)) < best:
-                    best, move = abs(gap - (s - t)), (i, j)
+                    best, move = abs(gap - (s - t)), (i, back[t])
         if move is None:
             return
         i, j = move
@@ -180,6 +195,8 @@ def _improve(bundles: list[tuple[int, str, int]], out: list[dict[str, int]], fil
 
 #: Sizes of components are exact up to this many rows; larger ones are bundled by three leading digits for the flow.
 EXACT_SIZE = 1000
+#: Channels with most rows that are profiles of their own; the others share one.
+PROFILES = 64
 
 
 def _bundle_size(rows: Column) -> Column:
@@ -191,7 +208,7 @@ def _bundle_size(rows: Column) -> Column:
 def assign_components(rows: DataFrame, targets: DataFrame, seed: str = "2026") -> DataFrame:
     """component, n_rows, profile, split of every recording.
 
-    Bundles number at most (1000 exact sizes + 900 for every further power of ten) times the profiles, whatever the data:
+    Bundles number at most (1000 exact sizes + 900 for every further power of ten) times 65 profiles, whatever the data:
     that is the proven bound of what the driver sees. With no rows there is no assignment; without targets it is an error.
     """
     want = {r["split_name"]: float(r["target_share"] or 0.0) for r in targets.filter("split_name is not null").collect()}
@@ -199,8 +216,10 @@ def assign_components(rows: DataFrame, targets: DataFrame, seed: str = "2026") -
         raise ValueError("split targets need at least one positive share")
     keyed = rows.select(component_key(F.col("file")).alias("component"), F.coalesce(F.col("channel"), F.lit("")).alias("channel"))
     by_channel = keyed.groupBy("component", "channel").agg(F.count(F.lit(1)).alias("n"))
+    top = [r["channel"] for r in by_channel.groupBy("channel").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "channel").limit(PROFILES).collect()]
     # The profile is the channel with most rows of the recording.
     components = by_channel.groupBy("component").agg(F.sum("n").alias("n_rows"), F.max_by("channel", F.struct("n", "channel")).alias("profile"))
+    components = components.withColumn("profile", F.when(F.col("profile").isin(top), F.col("profile")).otherwise(F.lit("\u2026")))
     components = cut(components.withColumn("bundle", _bundle_size(F.col("n_rows"))).withColumn("h", F.xxhash64(F.lit(seed), F.col("component"))))
     counts = components.groupBy("bundle", "profile").agg(F.count(F.lit(1)).alias("c")).collect()
     bundles = sorted((r["bundle"], r["profile"], r["c"]) for r in counts)
