@@ -10,10 +10,13 @@ labelled documents, chosen by hash; all documents are scored in one pass without
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,7 @@ MAX_GROUPS = 12
 MIN_ENGLISH = 0.015
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?。！？]+[\s\"'”’)]*|\n+")
+_DIGIT, _HAN = re.compile(r"\d"), re.compile(r"[\u4e00-\u9fff]")
 _VOWELS = re.compile(r"[aeiouy]+")
 # Short function words of the two Latin-script languages of the corpus.
 ENGLISH = frozenset("the of and a an to in is are was were it that this for with on as at by be from or not have has had but they we you he she his her their our my its which who what when would can do did if so than then there about all no only just me us them him i".split())
@@ -44,32 +48,52 @@ SUFFIX = re.compile(r"(?:tion|sion|ity|ism|ist|ment|ance|ence|ology|ical|ative|u
 GRADE_BINS = np.array([1.4, 1.8, 2.2, 2.5, 2.8, 3.1, 3.4, 3.7, 4.0, 4.3, 4.6])
 
 
+@lru_cache(maxsize=200_000)
+def _word_facts(word: str) -> tuple[int, int, bool, bool]:
+    """Signed hash, syllables, learned suffix, ASCII."""
+    h = xxhash.xxh64_intdigest(word)
+    return (h - (1 << 64) if h >> 63 else h), len(_VOWELS.findall(word)), len(word) > 6 and bool(SUFFIX.search(word)), word.isascii()
+
+
+def _quantiles(ordered: list[int], at: tuple[float, ...]) -> list[int]:
+    return [ordered[min(len(ordered) - 1, int(q * len(ordered)))] for q in at]
+
+
 def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
     """(features, word hashes, word counts, English or not) of a whole text."""
     text = canonical(text)
-    words = [w.casefold() for w in _WORD.findall(text)]
+    low = text.casefold()
+    words = _WORD.findall(low)
     n = len(words)
     counts = Counter(words)
-    sentences = [s for s in _SENTENCE.split(text) if s and not s.isspace()]
-    lengths = np.array([len(w) for w in words] or [0])
-    spans = np.array([len(_WORD.findall(s)) for s in sentences] or [0])
-    heads = [frozenset(w.casefold() for w in _WORD.findall(s) if len(w) > 3) for s in sentences[:400]]
-    shared = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(heads, heads[1:])]
-    per = max(n, 1)
-    hit = lambda group: sum(counts[w] for w in group if w in counts) / per
-    syllables = np.array([len(_VOWELS.findall(w)) for w in counts] or [0], float)
-    weights = np.array(list(counts.values()) or [1], float)
+    sentences = [v for v in map(str.split, _SENTENCE.split(low)) if v]
+    sizes = sorted(map(len, words)) or [0]
+    spans = sorted(map(len, sentences)) or [0]
+    heads = [{w for w in v if len(w) > 3} for v in sentences]
+    shared = sum(len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(heads, heads[1:]))
+    per, k = max(n, 1), len(sizes)
+    mean = sum(sizes) / k
+    longer = lambda m: (k - bisect_left(sizes, m)) / k
+    facts = [_word_facts(w) for w in counts]
+    each = list(counts.values())
+    syllables = suffixes = many = latin = 0
+    for (_, syl, suf, plain), c in zip(facts, each, strict=True):
+        syllables += syl * c
+        many += c if syl >= 4 else 0
+        suffixes += c if suf else 0
+        latin += c if plain else 0
+    hit = lambda group: sum(counts[w] for w in group & counts.keys()) / per
+    span_mean = sum(spans) / len(spans)
+    en, ms = hit(ENGLISH), hit(MALAY)
     features = [
-        np.log1p(n), *np.quantile(lengths, (0.25, 0.5, 0.75, 0.9)), lengths.mean(), lengths.std(), (lengths >= 7).mean(), (lengths >= 10).mean(), (lengths >= 13).mean(),
-        float((syllables * weights).sum() / weights.sum()), float((weights * (syllables >= 4)).sum() / weights.sum()), len(counts) / np.sqrt(2 * per), sum(c for w, c in counts.items() if len(w) > 6 and SUFFIX.search(w)) / per,
-        np.log1p(spans.mean()), spans.std(), np.log1p(spans.max()), *np.log1p(np.quantile(spans, (0.25, 0.75))), text.count(",") / per, (text.count(";") + text.count(":")) / per, (text.count("!") + text.count("?")) / per,
-        hit(SUBORDINATE), hit(CONNECTIVE), hit(PRONOUN), hit(ENGLISH), sum(c.isdigit() for c in text) / per, float(np.mean(shared)) if shared else 0.0,
+        math.log1p(n), *_quantiles(sizes, (0.25, 0.5, 0.75, 0.9)), mean, math.sqrt(max(0.0, sum(x * x for x in sizes) / k - mean * mean)), longer(7), longer(10), longer(13),
+        syllables / per, many / per, len(counts) / math.sqrt(2 * per), suffixes / per,
+        math.log1p(span_mean), math.sqrt(max(0.0, sum(x * x for x in spans) / len(spans) - span_mean**2)), math.log1p(spans[-1]), *map(math.log1p, _quantiles(spans, (0.25, 0.75))),
+        text.count(",") / per, (text.count(";") + text.count(":")) / per, (text.count("!") + text.count("?")) / per,
+        hit(SUBORDINATE), hit(CONNECTIVE), hit(PRONOUN), en, len(_DIGIT.findall(text)) / per, shared / max(1, len(heads) - 1),
     ]
-    latin = sum(counts[w] for w in counts if w.isascii())
-    en, ms = hit(ENGLISH), hit(MALAY)
-    english = bool(n) and latin / per > 0.5 and en > ms and en >= MIN_ENGLISH and sum("一" <= c <= "鿿" for c in text) < 0.2 * sum(c.isalpha() for c in text)
-    hashes = np.fromiter((np.uint64(xxhash.xxh64_intdigest(w)) for w in counts), np.uint64, len(counts)).view(np.int64)
-    return features, hashes, np.fromiter(counts.values(), np.int64, len(counts)), english
+    english = bool(n) and latin / per > 0.5 and en > ms and en >= MIN_ENGLISH and (text.isascii() or len(_HAN.findall(text)) < 0.2 * sum(sizes))
+    return features, np.array([f[0] for f in facts], np.int64), np.array(each, np.int64), english
 
 
 def _grades(hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
