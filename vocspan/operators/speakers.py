@@ -27,6 +27,16 @@ def speaker_groups(rows: DataFrame) -> DataFrame:
     return timed.filter(V.is_interval(F.col("start_s"), F.col("end_s"))).withColumn("duration", F.col("end_s") - F.col("start_s"))
 
 
+CHUNK = 4096
+
+
+def segment_chunks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, chunk, segments (source_row, start_s, end_s) in input order. A chunk covers 4096 input positions, which bounds its list
+    whatever the size of the group; the chunks of a group in order are its whole list."""
+    chunk = F.floor(F.col("source_row") / CHUNK).alias("chunk")
+    return rows.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(F.struct("source_row", "start_s", "end_s"))).alias("segments"))
+
+
 def clip_window(start: Column, end: Column, longest: float = 5.0) -> tuple[Column, Column]:
     """The central part of a clip that is longer than allowed."""
     long = end - start > longest

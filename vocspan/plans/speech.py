@@ -147,9 +147,10 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments per speaker group in input order."""
-    g = speakers.speaker_groups(_segments(spark, sf_dir)).groupBy("channel", "file", "speaker")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("source_row")), lambda x: x.cast("string")), ",").alias("source_rows"))
+    """Segments per speaker group in input order, in chunks by position."""
+    g = speakers.segment_chunks(speakers.speaker_groups(_segments(spark, sf_dir)), ["channel", "file", "speaker"])
+    rows = F.array_join(F.transform("segments", lambda x: x["source_row"].cast("string")), ",")
+    return g.select("channel", "file", "speaker", "chunk", F.size("segments").alias("n"), rows.alias("source_rows"))
 
 
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

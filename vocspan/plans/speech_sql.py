@@ -114,7 +114,7 @@ ORACLE = {
         c3 AS (SELECT c.*, least(c.d1, abs(c.s - p.s)) AS d FROM c2 c JOIN p2 p USING (channel, file, speaker) WHERE c.place <> p.place),
         p3 AS (SELECT * FROM c3 QUALIFY row_number() OVER (PARTITION BY channel, file, speaker ORDER BY d DESC, place) = 1)""",
         "SELECT channel, file, speaker, 1 AS pick, source_row FROM p1 UNION ALL SELECT channel, file, speaker, 2, source_row FROM p2 UNION ALL SELECT channel, file, speaker, 3, source_row FROM p3"),
-    "group_segments": _q(_GROUPS, "SELECT channel, file, speaker, count(*) AS n, string_agg(CAST(source_row AS VARCHAR), ',' ORDER BY source_row) AS source_rows FROM grp GROUP BY channel, file, speaker"),
+    "group_segments": _q(_GROUPS, "SELECT channel, file, speaker, source_row // 4096 AS chunk, count(*) AS n, string_agg(CAST(source_row AS VARCHAR), ',' ORDER BY source_row) AS source_rows FROM grp GROUP BY ALL"),
     "simple_forms": "SELECT source_row, " + ", ".join(f"array_to_string({_SIMPLE.format(c=c)}, ' ') AS {c}" for c in ("text", "generated_text", "generated_text_ft")) + " FROM tdk_subset",
     "threshold_sweep": """WITH t AS (SELECT CAST(unnest([0.35, 0.40, 0.44, 0.46, 0.48, 0.49, 0.50, 0.52, 0.54, 0.56, 0.60]) AS DOUBLE) AS threshold)
         SELECT threshold, count(g.file) AS n_groups, count(DISTINCT g.file) AS n_files FROM t LEFT JOIN group_scores g ON g.median_similarity >= threshold GROUP BY threshold""",
