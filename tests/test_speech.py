@@ -39,10 +39,11 @@ def test_canonical_text_and_edits(spark):
     norm = lambda t: " ".join(form.findall(unicodedata.normalize("NFKC", t or "").casefold().replace("’", "'")))
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     n = df.select("i", T.canonical_text(F.col("a")).alias("a"), T.canonical_text(F.col("b")).alias("b"))
-    out = n.select("i", "a", T.word_edits(T.words_of(F.col("a")), T.words_of(F.col("b"))).alias("w"), T.character_edits(F.col("a"), F.col("b")).alias("c")).collect()
+    out = n.select("i", "a", T.word_edits(F.col("a"), F.col("b")).alias("w"), T.word_count(F.col("a")).alias("n"), T.character_edits(F.col("a"), F.col("b")).alias("c")).collect()
     for r in out:
         a, b = (norm(x) for x in pairs[r["i"]])
         assert r["a"] == a
+        assert r["n"] == len(a.split())
         assert r["w"] == distance(a.split(), b.split())
         assert r["c"] == distance(a.replace(" ", ""), b.replace(" ", ""))
 

