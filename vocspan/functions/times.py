@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vocspan.functions.text import once
+
 #: White space of any kind around a value, and the decimal comma.
 _SPACE = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 _NUMBER = r"^[+-]?(\d+[.,]?\d*|[.,]\d+)([eE][+-]?\d{1,3})?$"
@@ -18,14 +20,17 @@ def parse_ms(value: Column) -> Column:
     Decimal arithmetic keeps the result exact; fractions below a millisecond are rounded half up. -0 counts as 0.
     """
     raw = value.cast("string")
-    text = F.regexp_replace(raw, _SPACE, "")
-    plain = F.when(text.rlike(_NUMBER), F.regexp_replace(text, ",", "."))
-    hours = F.coalesce(F.regexp_extract(text, _CLOCK, 1).try_cast("long"), F.lit(0))
-    minutes = F.regexp_extract(text, _CLOCK, 2).try_cast("long")
-    rest = F.regexp_replace(F.regexp_extract(text, _CLOCK, 3), ",", ".").try_cast(_DEC)
-    clock = F.when(text.rlike(_CLOCK) & (minutes < 60) & (rest < 60), (hours * 3600 + minutes * 60).cast("decimal(20,0)") + rest)
+
+    def read(text: Column) -> Column:
+        hours = F.coalesce(F.regexp_extract(text, _CLOCK, 1).try_cast("long"), F.lit(0))
+        minutes = F.regexp_extract(text, _CLOCK, 2).try_cast("long")
+        rest = F.regexp_replace(F.regexp_extract(text, _CLOCK, 3), ",", ".").try_cast(_DEC)
+        clock = F.when((minutes < 60) & (rest < 60), (hours * 3600 + minutes * 60).cast("decimal(20,0)") + rest)
+        return F.when(text.rlike(_CLOCK), clock).when(text.rlike(_NUMBER), F.regexp_replace(text, ",", ".").try_cast(_DEC))
+
     # Most values are plain numbers, and for those the patterns are not looked at.
-    seconds = F.coalesce(raw.try_cast(_DEC), F.when(raw.rlike(r"\d"), F.coalesce(plain.try_cast(_DEC), clock)))
+    slow = F.when(raw.rlike(r"\d"), once(F.regexp_replace(raw, _SPACE, ""), read))
+    seconds = F.coalesce(raw.try_cast(_DEC), slow)
     return F.when(seconds >= 0, F.round(seconds * 1000, 0).cast("long"))
 
 
