@@ -139,5 +139,10 @@ QUERIES = {
     "p10_profile": p10_profile,
     "p10_validation": p10_validation,
 }
-#: SQL has neither the normal forms nor the patterns these need; tests compare them with brute force.
-ORACLE: dict[str, str] = {}
+_ID_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(file, '{form}', 1), '')" for form in splits.ID_FORMS) + ")"
+#: For the others SQL lacks the normal forms, tokenizers, folds or models; tests compare them with brute force.
+ORACLE = {
+    "p5_found": f"""
+WITH names AS (SELECT DISTINCT file, {_ID_SQL} AS id FROM ycsep_static WHERE file IS NOT NULL)
+SELECT a.file AS file_a, b.file AS file_b FROM names a JOIN names b USING (id) WHERE a.file < b.file""",
+}
