@@ -9,12 +9,17 @@ however many rows or copies an entity has, so no task grows with the largest ent
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspan.session import cut
 
 BLOCK_MS = 600_000
+_EDGE = ("rank", "close_ms", "close_rows", "open_ms", "open_rows")
+
+
+def _block(ms: Column, block_ms: int) -> Column:
+    return F.coalesce(F.floor(ms / block_ms), F.lit(0))
 
 
 def ranked_boundaries(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", block_ms: int = BLOCK_MS) -> DataFrame:
@@ -24,26 +29,23 @@ def ranked_boundaries(intervals: DataFrame, keys: list[str], start: str = "start
     rows that end there), ``open_ms`` and ``open_rows`` (the start of the next). The first place has no close, the last no open.
     Rows need start < end. NULL keys form an entity of their own.
     """
+    # One struct for all keys: never NULL itself, and equal to another with NULLs in the same places, so windows and the
+    # join share one partitioning and nothing is inferred that would make two plans of one shuffle.
+    entity = F.struct(*keys).alias("entity")
     instants = (
-        intervals.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(start).alias("ms")), F.struct(F.lit(1).alias("kind"), F.col(end).alias("ms")))).alias("at"))
-        .groupBy(*keys, F.col("at.kind").alias("kind"), F.col("at.ms").alias("ms"))
+        intervals.select(entity, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(start).alias("ms")), F.struct(F.lit(1).alias("kind"), F.col(end).alias("ms")))).alias("at"))
+        .groupBy("entity", F.col("at.kind").alias("kind"), F.col("at.ms").alias("ms"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("block", F.floor(F.col("ms") / block_ms))
-    )
-    in_block = Window.partitionBy(*keys, "kind", "block").orderBy("ms")
-    over_blocks = Window.partitionBy(*keys, "kind").orderBy("block")
-    totals = instants.groupBy(*keys, "kind", "block").agg(F.sum("n").alias("total"))
-    carried = totals.select(*keys, "kind", "block", (F.sum("total").over(over_blocks) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy(*keys, "kind")).alias("size"))
-    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    ranked = (
-        instants.withColumn("upto", F.sum("n").over(in_block))
-        .alias("i")
-        .join(carried.alias("c"), [*same, F.col("i.kind") == F.col("c.kind"), F.col("i.block") == F.col("c.block")])
-        .select(*[F.col(f"i.{k}").alias(k) for k in keys], "i.kind", "i.ms", "i.n", (F.col("c.before") + F.col("i.upto")).alias("upto"), "c.size")
+        .withColumn("block", _block(F.col("ms"), block_ms))
     )
+    in_block = Window.partitionBy("entity", "kind", "block").orderBy("ms")
+    over_blocks = Window.partitionBy("entity", "kind").orderBy("block")
+    totals = instants.groupBy("entity", "kind", "block").agg(F.sum("n").alias("total"))
+    carried = totals.select("entity", "kind", "block", (F.sum("total").over(over_blocks) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy("entity", "kind")).alias("size"))
+    ranked = instants.withColumn("upto", F.sum("n").over(in_block)).join(carried, ["entity", "kind", "block"]).withColumn("upto", F.col("before") + F.col("upto"))
     is_end = F.col("kind") == 1
     paired = (
-        ranked.groupBy(*keys, F.when(is_end, F.col("upto")).otherwise(F.col("upto") - F.col("n")).alias("rank"))
+        ranked.groupBy("entity", F.when(is_end, F.col("upto")).otherwise(F.col("upto") - F.col("n")).alias("rank"))
         .agg(
             F.max(F.when(is_end, F.col("ms"))).alias("close_ms"),
             F.max(F.when(is_end, F.col("n"))).alias("close_rows"),
@@ -55,7 +57,7 @@ def ranked_boundaries(intervals: DataFrame, keys: list[str], start: str = "start
     # A start alone at rank 0 opens the first period; an end alone at a rank that no start follows closes the last.
     first = (F.col("rank") == 0) & F.col("open_ms").isNotNull()
     between = F.col("open_ms") > F.col("close_ms")
-    return paired.filter(first | between | (F.col("rank") == F.col("size"))).drop("size")
+    return paired.filter(first | between | (F.col("rank") == F.col("size"))).select("entity.*", *_EDGE)
 
 
 def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", block_ms: int = BLOCK_MS) -> DataFrame:
@@ -65,29 +67,23 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_
     Touching intervals join. Empty input gives no rows; columns other than the keys and times are ignored.
     """
     # Read twice below, and as small as the result: kept, so that the ranks are computed once.
-    edges = cut(ranked_boundaries(intervals, keys, start, end, block_ms)).withColumn("block", F.floor(F.coalesce("open_ms", "close_ms") / block_ms))
-    inside = Window.partitionBy(*keys, "block").orderBy("rank")
+    edges = cut(ranked_boundaries(intervals, keys, start, end, block_ms)).select(F.struct(*keys).alias("entity"), *_EDGE, _block(F.coalesce("open_ms", "close_ms"), block_ms).alias("block"))
+    inside = Window.partitionBy("entity", "block").orderBy("rank")
     nxt = F.struct("rank", "close_ms", "close_rows")
     # The edge after the last one of a block is the first of the entity's next block that has any.
-    heads = edges.groupBy(*keys, "block").agg(F.min(F.struct("rank", "close_ms", "close_rows")).alias("head"))
-    follow = heads.select(*keys, "block", F.lead("head").over(Window.partitionBy(*keys).orderBy("block")).alias("next_head"))
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    linked = (
-        edges.withColumn("nxt", F.lead(nxt).over(inside))
-        .alias("e")
-        .join(follow.alias("f"), [*same, F.col("e.block") == F.col("f.block")])
-        .withColumn("after", F.coalesce("e.nxt", "f.next_head"))
-    )
-    rows = F.col("after.rank") - F.col("e.rank")
+    heads = edges.groupBy("entity", "block").agg(F.min(nxt).alias("head"))
+    follow = heads.select("entity", "block", F.lead("head").over(Window.partitionBy("entity").orderBy("block")).alias("next_head"))
+    linked = edges.withColumn("nxt", F.lead(nxt).over(inside)).join(follow, ["entity", "block"]).withColumn("after", F.coalesce("nxt", "next_head"))
+    rows = F.col("after.rank") - F.col("rank")
     period = F.when(
-        F.col("e.open_ms").isNotNull() & F.col("after").isNotNull(),
+        F.col("open_ms").isNotNull() & F.col("after").isNotNull(),
         F.struct(
-            F.lit("period").alias("kind"), F.col("e.open_ms").alias("start_ms"), F.col("after.close_ms").alias("end_ms"), rows.alias("rows"),
-            ((F.col("e.open_rows") == rows) & (F.col("after.close_rows") == rows)).alias("identical"),
+            F.lit("period").alias("kind"), F.col("open_ms").alias("start_ms"), F.col("after.close_ms").alias("end_ms"), rows.alias("rows"),
+            ((F.col("open_rows") == rows) & (F.col("after.close_rows") == rows)).alias("identical"),
         ),
     )
     gap = F.when(
-        F.col("e.open_ms").isNotNull() & F.col("e.close_ms").isNotNull(),
-        F.struct(F.lit("gap").alias("kind"), F.col("e.close_ms").alias("start_ms"), F.col("e.open_ms").alias("end_ms"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("boolean").alias("identical")),
+        F.col("open_ms").isNotNull() & F.col("close_ms").isNotNull(),
+        F.struct(F.lit("gap").alias("kind"), F.col("close_ms").alias("start_ms"), F.col("open_ms").alias("end_ms"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("boolean").alias("identical")),
     )
-    return linked.select(*[F.col(f"e.{k}").alias(k) for k in keys], F.explode(F.array_compact(F.array(period, gap))).alias("x")).select(*keys, "x.*")
+    return linked.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("x")).select("entity.*", "x.*")
