@@ -38,43 +38,49 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def gram_hashes(words: list[str], size: int = GRAM) -> np.ndarray:
-    """Rolling hashes of ``size`` words as signed 64-bit numbers."""
-    h = np.fromiter((_word_hash(w) for w in words), np.uint64, len(words))
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = np.zeros(n, np.uint64)
+def gram_hashes(said: list[str], size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rolling hashes of ``size`` words of a batch of texts as signed 64-bit numbers, with the number of the text and the place in it."""
+    words = [s.split(" ") for s in said]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter((_word_hash(w) for text in words for w in text), np.uint64, int(n.sum()))
+    m = max(0, len(h) - size + 1)
+    out = np.zeros(m, np.uint64)
     for j in range(size):
-        out = out * _BASE + h[j : j + n]
+        out = out * _BASE + h[j : j + m]
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    text = np.repeat(np.arange(len(words)), n)
+    inside = text[:m] == text[size - 1 : size - 1 + m]
+    text = text[:m][inside]
+    return out[inside].view(np.int64), text, np.flatnonzero(inside) - (n.cumsum() - n)[text]
 
 
 def allowed_edits(n_words: int) -> int:
     return n_words // 10
 
 
-def spare_windows(n_words: int) -> int:
+def spare_windows(n_words: np.ndarray) -> np.ndarray:
     """How many of a text's windows may be left out: one less than those that survive the most edits a partner may need."""
-    return max(0, n_words - (GRAM + WINDOW - 1) + 1 - (GRAM + WINDOW - 1) * (n_words // 9) - 1)
+    reach = GRAM + WINDOW - 1
+    return np.maximum(0, n_words - reach - reach * (n_words // 9))
 
 
-def select_minima(hashes: np.ndarray, n_words: int, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the windows' minima that have to be joined. common: sorted common hashes; rank: their frequencies."""
+def select_minima(hashes: np.ndarray, text: np.ndarray, n_words: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places in ``hashes`` of the windows' minima that have to be joined. common: sorted common hashes; rank: their frequencies."""
     weight = np.zeros(len(hashes), np.int64)
     if len(common):
-        at = np.searchsorted(common, hashes)
-        at[at == len(common)] = 0
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         weight = np.where(common[at] == hashes, rank[at], 0)
-    left, right = np.arange(len(hashes) - 1), np.arange(1, len(hashes))
+    left = np.flatnonzero(text[:-1] == text[1:])
+    right = left + 1
     first = (weight[left] < weight[right]) | ((weight[left] == weight[right]) & (hashes[left] <= hashes[right]))
     pick = np.where(first, left, right)
-    order = np.lexsort((hashes[pick], weight[pick]))
-    pick = np.unique(pick[order[: len(pick) - spare_windows(n_words)]])
-    return hashes[pick], pick
+    order = np.lexsort((hashes[pick], weight[pick], text[left]))
+    pick, owner = pick[order], text[left][order]
+    windows = np.bincount(owner, minlength=len(n_words))
+    place = np.arange(len(pick)) - (windows.cumsum() - windows)[owner]
+    return np.unique(pick[place < (windows - spare_windows(n_words))[owner]])
 
 
 def edit_distance_within(a: list, b: list, limit: int) -> int | None:
@@ -177,8 +183,8 @@ def eligible(rows: DataFrame) -> DataFrame:
 
 
 def _common_hashes(classes: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that a share of the texts has, with their estimated frequencies. Every text is counted; a batch reports what is
-    common in it, so at most (hashes per text / share) numbers come out of a batch and of the sum."""
+    """Hashes that occur in a share of the texts, with their estimated frequencies. Every text is counted; a batch reports what
+    is common in it, so at most (hashes per text / share) numbers come out of a batch and of the sum."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -190,7 +196,7 @@ def _common_hashes(classes: DataFrame, share: float) -> tuple[np.ndarray, np.nda
             return pd.DataFrame({"h": h[keep], "n": n[keep]})
 
         for pdf in batches:
-            held += [np.unique(gram_hashes(s.split(" "))) for s in pdf["said"]]
+            held.append(gram_hashes(pdf["said"].tolist())[0])
             texts += len(pdf)
             if texts >= 100_000:
                 yield report()
@@ -216,16 +222,12 @@ def near_classes(classes: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, weight = shared.value
         for pdf in batches:
-            parts = []
-            for cls, said, n, a, b in zip(pdf["cls"], pdf["said"], pdf["n"], pdf["in_train"], pdf["in_eval"], strict=True):
-                h, at = select_minima(gram_hashes(said.split(" ")), n, hot, weight)
-                parts.append((cls, n, a, b, h, at))
-            if parts:
-                sizes = [len(p[4]) for p in parts]
-                yield pd.DataFrame({
-                    "h": np.concatenate([p[4] for p in parts]), "cls": np.repeat(np.array([p[0] for p in parts], object), sizes), "n": np.repeat([p[1] for p in parts], sizes).astype("int32"),
-                    "at": np.concatenate([p[5] for p in parts]).astype("int32"), "in_train": np.repeat([p[2] for p in parts], sizes), "in_eval": np.repeat([p[3] for p in parts], sizes),
-                })
+            if pdf.empty:
+                continue
+            h, text, at = gram_hashes(pdf["said"].tolist())
+            pick = select_minima(h, text, pdf["n"].to_numpy(np.int64), hot, weight)
+            own = pdf.iloc[text[pick]]
+            yield pd.DataFrame({"h": h[pick], "cls": own["cls"].to_numpy(), "n": own["n"].to_numpy(), "at": at[pick].astype("int32"), "in_train": own["in_train"].to_numpy(), "in_eval": own["in_eval"].to_numpy()})
 
     prints = cut(classes.select("cls", "said", "n", "in_train", "in_eval").mapInPandas(fingerprints, "h long, cls binary, n int, at int, in_train boolean, in_eval boolean"))
     a = prints.filter("in_train").select("h", F.col("cls").alias("train_cls"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
