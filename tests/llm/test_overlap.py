@@ -81,3 +81,18 @@ def test_long_text(spark, utterances):
     text = " ".join(f"w{i % 900}x{i // 7 % 11}" for i in range(20_000))
     df = utterances({"text": text, "split": "train"}, {"text": text.replace("w5x", "v5x"), "split": "test"})
     assert O.found(df).count() == 1
+
+
+def test_repeated_phrases_inside_a_text(spark, utterances):
+    rng = random.Random(11)
+    rows = []
+    phrase = [f"p{i}" for i in range(9)]
+    for i in range(60):
+        base = [f"u{i // 2}x{j}" for j in range(8)]
+        words = phrase + base + phrase + phrase[: rng.randrange(9)]
+        if i % 2:
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([["odd"], ["odd", words[at]], []])
+        rows.append({"source_row": i, "text": " ".join(words), "split": "test" if i % 2 else "train"})
+    want = brute(rows)
+    assert len(want) >= 25 and {tuple(r) for r in O.found(utterances(*rows)).collect()} == want

@@ -7,7 +7,7 @@ words with at most n/10 edits always keep a run of six equal words, so they shar
 Common phrases would join everything with everything. The minimum is therefore taken in the order (frequency, hash), and
 of every text the most frequent windows are left out as far as the edits allow it: an edit breaks at most six windows, so
 a text of n words keeps at least I = n - 5 - 6 * floor(n / 9) windows, and its I - 1 most frequent ones are not needed.
-Frequencies only order the windows; any order gives the same result. Candidates must agree in place and length up to the
+A hash that is kept is kept at all of its places. Frequencies only order the windows; any order gives the same result. Candidates must agree in place and length up to the
 allowed edits; their seeds are chained along ascending positions and the alignment is extended over the whole texts by a
 banded edit distance that decides.
 """
@@ -79,7 +79,10 @@ def select_minima(hashes: np.ndarray, text: np.ndarray, n_words: np.ndarray, com
     order = np.lexsort((hashes[pick], weight[pick], text[left]))
     pick, owner = pick[order], text[left][order]
     windows = np.bincount(owner, minlength=len(n_words))
-    place = np.arange(len(pick)) - (windows.cumsum() - windows)[owner]
+    # A hash that a text keeps is kept at all of its places: which of them a partner has is not known here.
+    fresh = np.ones(len(pick), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (hashes[pick[1:]] != hashes[pick[:-1]])
+    place = np.maximum.accumulate(np.where(fresh, np.arange(len(pick)), 0)) - (windows.cumsum() - windows)[owner]
     return np.unique(pick[place < (windows - spare_windows(n_words))[owner]])
 
 
