@@ -34,11 +34,11 @@ def split_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.audit_by(_split(spark, sf_dir), "channel").withColumn("hours", F.round("hours", 6))
+    return quality.audit_by(_split(spark, sf_dir), "channel").withColumn("hours", F.round("hours", 9))
 
 
 def audit_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.audit_by(_split(spark, sf_dir).filter("exclusion_reason = ''"), "split").withColumn("hours", F.round("hours", 6))
+    return quality.audit_by(_split(spark, sf_dir).filter("exclusion_reason = ''"), "split").withColumn("hours", F.round("hours", 9))
 
 
 def audit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def overlap_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = intervals.overlap_totals(intervals.overlap_seconds(_valid(spark, sf_dir)))
-    return t.select(*[F.round(c, 5).alias(c) for c in t.columns])
+    return t.select(*[F.round(c, 7).alias(c) for c in t.columns])
 
 
 def holdout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,8 +84,8 @@ def _q(*parts: str) -> str:
 ORACLE = {
     "quality_features": _q(_BASE, "SELECT source_row, video, round(duration, 6) AS duration, word_count, characters, round(wps, 6) AS words_per_second, round(cps, 6) AS characters_per_second, duration_bucket, singlish AS singlish_indicator, array_to_string(flags, '|') AS flags FROM feat"),
     "split_reasons": _q(_SPLIT, "SELECT source_row, split, exclusion_reason FROM split"),
-    "audit_channels": _q(_SPLIT, "SELECT channel, count(*) AS n_rows, round(sum(duration / 3600), 6) AS hours, count(DISTINCT video) AS videos FROM split GROUP BY channel"),
-    "audit_splits": _q(_SPLIT, "SELECT split, count(*) AS n_rows, round(sum(duration / 3600), 6) AS hours, count(DISTINCT video) AS videos FROM split WHERE exclusion_reason = '' GROUP BY split"),
+    "audit_channels": _q(_SPLIT, "SELECT channel, count(*) AS n_rows, round(sum(duration / 3600), 9) AS hours, count(DISTINCT video) AS videos FROM split GROUP BY channel"),
+    "audit_splits": _q(_SPLIT, "SELECT split, count(*) AS n_rows, round(sum(duration / 3600), 9) AS hours, count(DISTINCT video) AS videos FROM split WHERE exclusion_reason = '' GROUP BY split"),
     "audit_buckets": _q(_BASE, "SELECT duration_bucket, count(*) AS n_rows FROM feat GROUP BY 1"),
     "audit_exclusions": _q(_SPLIT, "SELECT exclusion_reason, count(*) AS n_rows FROM split WHERE exclusion_reason <> '' GROUP BY 1"),
     "audit_flags": _q(_SPLIT, "SELECT flag, count(*) AS n_rows FROM (SELECT unnest(flags) AS flag FROM split WHERE NOT held_out) GROUP BY flag"),
@@ -94,7 +94,7 @@ ORACLE = {
         count(*) FILTER (wps < 0.5) AS wps_lt0_5, count(*) FILTER (wps > 7.5) AS wps_gt7_5, count(*) FILTER (singlish) AS singlish FROM split WHERE split <> 'test'"""),
     "split_leaks": _q(_SPLIT, "SELECT video, count(DISTINCT split) AS n_splits FROM split WHERE exclusion_reason = '' OR split = 'test' GROUP BY video HAVING count(DISTINCT split) > 1 AND video <> ''"),
     "overlap_by_video": _q(_SWEEP, "SELECT video, round(u, 4) AS union_seconds, round(o, 4) AS metadata_overlap_seconds, round(x, 4) AS different_speaker_overlap_seconds FROM per"),
-    "overlap_totals": _q(_SWEEP, "SELECT round(sum(u) / 3600, 5) AS union_hours, round(sum(o) / 3600, 5) AS overlap_hours, round(sum(x) / 3600, 5) AS different_speaker_hours, round(sum(o) / nullif(sum(u), 0), 5) AS overlap_fraction FROM per"),
+    "overlap_totals": _q(_SWEEP, "SELECT round(sum(u) / 3600, 7) AS union_hours, round(sum(o) / 3600, 7) AS overlap_hours, round(sum(x) / 3600, 7) AS different_speaker_hours, round(sum(o) / nullif(sum(u), 0), 7) AS overlap_fraction FROM per"),
     "holdout_positions": _q(_HELD, "SELECT source_row, position FROM held"),
     "shard_rows": _q(_HELD, "SELECT source_row, position FROM held WHERE position % 8 = 3 ORDER BY position LIMIT 500"),
     "shard_merge": "SELECT 0 AS missing, 0 AS surplus, 0 AS different FROM region WHERE r_regionkey = 0",
