@@ -70,13 +70,13 @@ CASE WHEN speaker IS NULL OR lower(trim(speaker, ' \t\n')) IN ('', 'nan', 'none'
      ELSE 'SPEAKER_' || CASE WHEN CAST(regexp_extract(speaker, '([0-9]+)', 1) AS BIGINT) < 10 THEN '0' ELSE '' END
           || CAST(CAST(regexp_extract(speaker, '([0-9]+)', 1) AS BIGINT) AS VARCHAR) END"""
 _TIMED_SQL = f"""
-timed AS (SELECT channel, file, text, {_SPEAKER_SQL} AS speaker, {_TIME_SQL.format(c="start_time")} AS s, {_TIME_SQL.format(c="end_time")} AS e FROM ycsep_static),
-valid AS (SELECT file, speaker, s, e FROM timed WHERE speaker IS NOT NULL AND s >= 0 AND s < e)"""
+timed AS (SELECT source_row, channel, file, text, {_SPEAKER_SQL} AS speaker, {_TIME_SQL.format(c="start_time")} AS s, {_TIME_SQL.format(c="end_time")} AS e FROM ycsep_static),
+valid AS (SELECT source_row, file, speaker, s, e FROM timed WHERE speaker IS NOT NULL AND s >= 0 AND s < e)"""
 #: The SQL merges in one ordered pass, independently of the ranks that the operator uses.
 _ISLANDS_SQL = f"""
 WITH {_TIMED_SQL},
-marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM valid),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY file, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file, speaker ORDER BY s, e, source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM valid),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY file, speaker ORDER BY s, e, source_row ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 periods AS (SELECT file, speaker, island, min(s) AS s, max(e) AS e, count(*) AS n, count(DISTINCT (s, e)) = 1 AS identical FROM numbered GROUP BY file, speaker, island),
 chained AS (SELECT *, lead(s) OVER (PARTITION BY file, speaker ORDER BY island) AS next_s FROM periods)"""
 

@@ -124,7 +124,7 @@ ORACLE = {
     "top_rejected": f"SELECT channel, file, speaker, median_similarity FROM group_scores WHERE median_similarity < {THRESHOLD} ORDER BY median_similarity DESC, channel, file, speaker LIMIT 10",
     "group_medians": "SELECT channel, file, speaker, round(list_aggregate(similarities, 'median'), 9) AS median, abs(list_aggregate(similarities, 'median') - median_similarity) <= 1e-5 + 1e-5 * abs(median_similarity) AS reproduced FROM group_scores",
     "detections": f"""WITH picked AS (SELECT regexp_extract(file, '^\\d{{8}}--([A-Za-z0-9_-]{{11}})--([^\\n]+)\\.TextGrid$', 1) AS video, unnest(segments) AS x FROM group_scores WHERE median_similarity >= {THRESHOLD} AND regexp_matches(file, '^\\d{{8}}--[A-Za-z0-9_-]{{11}}--[^\\n]+\\.TextGrid$')),
-        us AS (SELECT video, CAST(round(x[1] * 1000000) AS BIGINT) AS s, CAST(round(x[2] * 1000000) AS BIGINT) AS e FROM picked), ok AS (SELECT * FROM us WHERE s >= 0 AND s < e),
+        us AS (SELECT video, CAST(round(x[1] * 1000000) AS BIGINT) AS s, CAST(round(x[2] * 1000000) AS BIGINT) AS e FROM picked), ok AS (SELECT DISTINCT * FROM us WHERE s >= 0 AND s < e),
         m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY video ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ok),
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY video ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
         SELECT video, min(s) / 1000000 AS start_s, max(e) / 1000000 AS end_s FROM n GROUP BY video, island""",
