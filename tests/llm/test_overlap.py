@@ -96,3 +96,53 @@ def test_repeated_phrases_inside_a_text(spark, utterances):
         rows.append({"source_row": i, "text": " ".join(words), "split": "test" if i % 2 else "train"})
     want = brute(rows)
     assert len(want) >= 25 and {tuple(r) for r in O.found(utterances(*rows)).collect()} == want
+
+
+def best_alignment(a, b):
+    """Fewest edits and, among alignments with that few, most equal words, over the whole table."""
+    prev = [(j, 0) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        cur = [(i, 0)]
+        for j, y in enumerate(b, 1):
+            step = (prev[j - 1][0], prev[j - 1][1] - 1) if x == y else (prev[j - 1][0] + 1, prev[j - 1][1])
+            cur.append(min(step, (prev[j][0] + 1, prev[j][1]), (cur[-1][0] + 1, cur[-1][1])))
+        prev = cur
+    return prev[-1][0], -prev[-1][1]
+
+
+def test_equal_words():
+    rng = random.Random(3)
+    for _ in range(600):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        want = best_alignment(a, b)
+        assert all(O.equal_words(a, b, limit) == want for limit in (want[0], want[0] + 3))
+
+
+def test_coverage_is_that_of_the_alignment(spark, utterances):
+    rng = random.Random(5)
+    common = "and then they all fell right in front of the house".split()
+    rows = []
+    for i in range(120):
+        if i % 2:
+            words = spoken_words(rows[-1]["text"])
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice([[], ["odd"], ["odd"]])
+        else:
+            words = [f"w{i}x{j}" for j in range(15 + i % 30)] + common
+        rows.append({"source_row": i, "text": " ".join(words), "split": "test" if i % 2 else "train", "channel": "c", "file": f"f{i}"})
+    n26 = [f"v{i}" for i in range(26)]
+    rows += [{"source_row": 200, "text": " ".join(n26), "split": "train"}, {"source_row": 201, "text": " ".join([*n26[:13], "odd", *n26[14:]]), "split": "test", "file": "one"}]
+    rows += [{"source_row": 300, "split": "train", "audio": "https://a.example/1.mp3"}, {"source_row": 301, "split": "test", "audio": "https://a.example/1.mp3", "file": "heard"}]
+    said = {r["source_row"]: spoken_words(r.get("text")) for r in rows}
+    want = {}
+    for a, b in brute(rows):
+        edits, equal = best_alignment(said[a], said[b])
+        want[a, b] = equal / len(said[b]) if said[b] else None
+    assert len(want) > 40 and want[200, 201] == 25 / 26 and want[300, 301] is None
+    df = utterances(*rows)
+    for parts, share in ((1, O.COMMON_SHARE), (7, 0.5)):
+        got = O.overlaps(df.repartition(parts), share).collect()
+        assert {(r["train_row"], r["eval_row"]): r["coverage"] for r in got} == want
+    report = {r["file"]: (r["n_any"], r["coverage"]) for r in O.report(df).collect()}
+    assert report["one"] == (1, 25 / 26) and report["heard"] == (1, 0.0)

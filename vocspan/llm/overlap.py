@@ -9,7 +9,8 @@ of every text the most frequent windows are left out as far as the edits allow i
 a text of n words keeps at least I = n - 5 - 6 * floor(n / 9) windows, and its I - 1 most frequent ones are not needed.
 A hash that is kept is kept at all of its places. Frequencies only order the windows; any order gives the same result. Candidates must agree in place and length up to the
 allowed edits; their seeds are chained along ascending positions and the alignment is extended over the whole texts by a
-banded edit distance that decides.
+banded edit distance that decides. Coverage counts the equal words of the best alignment of a pair, not its seeds, so it
+depends on the two texts alone.
 """
 
 from __future__ import annotations
@@ -143,6 +144,34 @@ def extend(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> int | No
     return edit_distance_within(a, b, limit)
 
 
+def equal_words(a: list[str], b: list[str], limit: int) -> tuple[int, int]:
+    """Edits and equal words of the alignment with the fewest edits and, among those, the most equal words. limit: at least the edits.
+
+    One cost says both: with D edits, S of them changes, len(a) + len(b) - D - S is twice the number of equal words. Equal
+    words at the head and at the end always belong to such an alignment.
+    """
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    unit = len(x) + len(y) + 1
+    far = unit * unit
+    prev = {j: j * unit for j in range(min(len(y), limit) + 1)}
+    for i, word in enumerate(x, 1):
+        cur: dict[int, int] = {}
+        for j in range(max(0, i - limit), min(len(y), i + limit) + 1):
+            best = min(prev.get(j, far), cur.get(j - 1, far)) + unit
+            if j:
+                best = min(best, prev.get(j - 1, far) + (0 if word == y[j - 1] else unit + 1))
+            cur[j] = best
+        prev = cur
+    edits, changed = divmod(prev[len(y)], unit)
+    return edits, head + tail + (len(x) + len(y) - edits - changed) // 2
+
+
 def audio_key(address: Column) -> Column:
     """host/path of an http(s) address; NULL when missing or leading nowhere.
 
@@ -216,7 +245,7 @@ def _common_hashes(classes: DataFrame, share: float) -> tuple[np.ndarray, np.nda
 def near_classes(classes: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     """train_cls, eval_cls, edits, n_words, covered of different texts with few enough edits, one in training and one in evaluation.
 
-    ``covered`` is the number of words of the evaluation text that chained seeds cover. classes: cls, said, n, in_train, in_eval.
+    ``covered`` is the number of words of the evaluation text that the alignment finds equal in the training text. classes: cls, said, n, in_train, in_eval.
     """
     common, rank = _common_hashes(classes, share)
     spark = classes.sparkSession
@@ -246,9 +275,11 @@ def near_classes(classes: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     def align(said_a: pd.Series, said_b: pd.Series, seeds: pd.Series) -> pd.DataFrame:
         edits, covered = [], []
         for x, y, s in zip(said_a, said_b, seeds, strict=True):
-            points = [(p["at_a"], p["at_b"]) for p in s]
-            edits.append(extend(x.split(" "), y.split(" "), points))
-            covered.append(len({j + d for _, j in chain(points) for d in range(GRAM)}))
+            a, b = x.split(" "), y.split(" ")
+            within = extend(a, b, [(p["at_a"], p["at_b"]) for p in s])
+            fewest, equal = (None, 0) if within is None else equal_words(a, b, within)
+            edits.append(fewest)
+            covered.append(equal)
         return pd.DataFrame({"edits": pd.array(edits, dtype="Int32"), "covered": np.array(covered, "int32")})
 
     done = both.withColumn("x", align("said_a", "said_b", "seeds")).filter(F.col("x.edits").isNotNull())
@@ -258,7 +289,8 @@ def near_classes(classes: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
 def overlaps(rows: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     """train_row, eval_row, kind (audio, exact, near), coverage: every overlap across the splits.
 
-    A pair may come once of every kind. NULL or unusable audio, NULL text and unknown splits take no part; repeated rows
+    ``coverage`` is the share of the evaluation text's words that are equal in the training text: 1 for exact pairs, NULL for
+    audio, which says nothing about words. A pair may come once of every kind. NULL or unusable audio, NULL text and unknown splits take no part; repeated rows
     form pairs of their own; other columns are ignored.
     """
     base = rows.select("source_row", "split", "audio", "text")
@@ -269,7 +301,7 @@ def overlaps(rows: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     held = texts.filter("not train").select(F.col("source_row").alias("eval_row"), F.col("cls").alias("eval_cls"))
     exact = train.join(held, F.col("train_cls") == F.col("eval_cls")).select("train_row", "eval_row", F.lit("exact").alias("kind"), F.lit(1.0).alias("coverage"))
     close = near.join(train, "train_cls").join(held, "eval_cls").select("train_row", "eval_row", F.lit("near").alias("kind"), (F.col("covered") / F.col("n_words")).alias("coverage"))
-    clips = audio_pairs(base).select("train_row", "eval_row", F.lit("audio").alias("kind"), F.lit(1.0).alias("coverage"))
+    clips = audio_pairs(base).select("train_row", "eval_row", F.lit("audio").alias("kind"), F.lit(None).cast("double").alias("coverage"))
     return exact.unionByName(close).unionByName(clips)
 
 
@@ -282,7 +314,8 @@ def found(rows: DataFrame) -> DataFrame:
 def report(rows: DataFrame) -> DataFrame:
     """split, channel, file, n_rows, n_audio, n_exact, n_near, n_any, coverage of every evaluation split and source, zero where none overlaps.
 
-    A record's coverage is the largest share of its words that some training record has; ``coverage`` is the mean over the source.
+    A record's coverage is the largest share of its words that one exact or near training record has; other records, those with
+    the same audio alone included, count as 0. ``coverage`` is the mean over the source.
     """
     hit = overlaps(rows).groupBy("eval_row").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k) for k in ("audio", "exact", "near")], F.max("coverage").alias("covered"))
     held = rows.filter(~_side(F.col("split"))).select("source_row", "split", "channel", "file")
