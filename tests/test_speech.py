@@ -191,6 +191,29 @@ def test_vectors(spark):
     assert sims.count() == 48
 
 
+def test_more_vectors_than_a_block(spark):
+    import numpy as np
+
+    m = np.random.default_rng(8).normal(size=(1203, 3))
+    m[:400] = m[0]
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id int, v array<double>")
+    few = df.filter("id % 401 = 7")
+    sims = speakers.cosine_to(few, "v", df.select(F.col("id").cast("string").alias("name"), F.col("v").alias("prototype")), "name").collect()
+    assert len(sims) == 3 * 1203 and all(abs(r["similarity"] - m[r["id"]] @ m[int(r["name"])]) < 1e-12 for r in sims)
+    s = (m @ m.T)[np.triu_indices(len(m), 1)]
+    got = speakers.pairwise(df, "id", "v").first()
+    assert got[0] == len(s) and np.allclose(got[1:], [s.min(), np.median(s)], atol=1e-12, rtol=0)
+
+
+def test_exact_median(spark):
+    rng = random.Random(6)
+    for values in ([], [0.25], [0.5, -0.5], [1.0, 1.0, 1.0, 0.1], [rng.choice([0.1, 0.1 + 1e-17, 0.1 + 2e-16, 0.3]) for _ in range(40)], [rng.uniform(-1, 1) for _ in range(75)]):
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "s double")
+        want = (len(values), min(values, default=None), sorted(values)[(len(values) - 1) // 2] / 2 + sorted(values)[len(values) // 2] / 2 if values else None)
+        assert speakers.exact_median(df, "s", bins=4) == want
+
+
 def test_windows_and_medians(spark):
     start, end = speakers.clip_window(F.col("s"), F.col("e"))
     rows = spark.createDataFrame([(0.0, 4.0), (0.0, 9.0)], "s double, e double").select(start.alias("a"), end.alias("b")).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vocspan.functions import values as V
 from vocspan.operators.periods import periods_and_gaps
+from vocspan.session import cut
 
 # Thresholds of the sweep and the band below the chosen one.
 SWEEP = (0.35, 0.40, 0.44, 0.46, 0.48, 0.49, 0.50, 0.52, 0.54, 0.56, 0.60)
@@ -76,11 +77,17 @@ def leave_one_out(windows: DataFrame, order: str, vector: str) -> DataFrame:
     return mean_unit(halves, "v", ["variant"]).unionByName(omit)
 
 
+#: Prototypes and windows up to this many are held whole; more go through blocks of this many.
+BLOCK = 1000
+
+
 def cosine_to(vectors: DataFrame, vector: str, prototypes: DataFrame, name: str) -> DataFrame:
-    """Every vector with its similarity to every prototype. There are a few dozen prototypes (checked), so they are sent to all tasks."""
-    few = prototypes.select(name, "prototype").limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("more than 1000 prototypes")
+    """Every vector with its similarity to every prototype. A few prototypes are sent to all tasks; more than a block of them
+    are written once and meet the vectors partition by partition."""
+    few = prototypes.select(name, "prototype").limit(BLOCK + 1).collect()
+    if len(few) > BLOCK:
+        many = _blocks(prototypes.select(name, F.col("prototype").alias("__p")))
+        return vectors.crossJoin(many).withColumn("similarity", dot(F.col(vector), F.col("__p"))).drop("__p")
     spark = vectors.sparkSession
     table = F.array(*[F.struct(F.lit(r[name]).alias(name), F.array(*[F.lit(float(x)) for x in r["prototype"]]).alias("p")) for r in few]) if len(few) * len(few[0]["prototype"] if few else []) <= 2000 else None
     if table is not None:
@@ -89,12 +96,52 @@ def cosine_to(vectors: DataFrame, vector: str, prototypes: DataFrame, name: str)
     return vectors.withColumn("__k", F.lit(1)).join(F.broadcast(small), "__k").withColumn("similarity", dot(F.col(vector), F.col("__p"))).drop("__k", "__p")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The rows, written once, in partitions of about a block."""
+    held = cut(rows)
+    return cut(held.repartition(-(-held.count() // BLOCK) or 1))
+
+
+def exact_median(values: DataFrame, column: str, bins: int = 1 << 16) -> tuple[int, float | None, float | None]:
+    """Number, minimum and median of values around -1 to 1, without holding them: they are counted in bins, and the bin of the
+    middle is divided again until the middle is known. The driver sees the filled bins of one pass. NULL is left out."""
+    n, least, low, high, below = 0, None, -1.0, 1.0, 0
+    values = values.filter(F.col(column).isNotNull())
+    part = values
+    while True:
+        place = F.floor((F.col(column) - low) / (high - low) * bins)
+        found = part.groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).alias("bin")).agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("bin").collect()
+        if least is None:
+            if not found:
+                return 0, None, None
+            n, least = sum(r["n"] for r in found), found[0]["low"]
+        middle = []
+        for rank in ((n - 1) // 2, n // 2):
+            before = below
+            for r in found:
+                if rank < before + r["n"]:
+                    break
+                before += r["n"]
+            middle.append((before, r))
+        (before, a), (_, b) = middle
+        if a["bin"] != b["bin"]:  # neighbours: the last of one bin and the first of the next
+            return n, least, (a["high"] + b["low"]) / 2
+        if a["low"] == a["high"]:
+            return n, least, a["low"]
+        low, high, below = a["low"], a["high"], before
+        part = values.filter(F.col(column).between(low, high))
+
+
 def pairwise(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """n_pairs, min_similarity, median_similarity over the pairs of the windows of one reference (a bounded set: at most 1000)."""
-    if vectors.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 reference windows")
-    a, b = vectors.select(F.col(key).alias("a"), F.col(vector).alias("x")), vectors.select(F.col(key).alias("b"), F.col(vector).alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select(dot(F.col("x"), F.col("y")).alias("s")).agg(F.count("s").alias("n_pairs"), F.min("s").alias("min_similarity"), F.percentile("s", 0.5).alias("median_similarity"))
+    """n_pairs, min_similarity, median_similarity over the pairs of the windows of one reference. Up to a block of windows the
+    median is an aggregate; beyond it pairs are formed block by block, once per pass of the median, and never kept."""
+    many = vectors.limit(BLOCK + 1).count() > BLOCK
+    held = _blocks(vectors.select(key, vector)) if many else vectors
+    a, b = held.select(F.col(key).alias("a"), F.col(vector).alias("x")), held.select(F.col(key).alias("b"), F.col(vector).alias("y"))
+    pairs = a.join(b, F.col("a") < F.col("b")).select(dot(F.col("x"), F.col("y")).alias("s"))
+    if many:
+        return vectors.sparkSession.createDataFrame([exact_median(pairs, "s")], "n_pairs long, min_similarity double, median_similarity double")
+    return pairs.agg(F.count("s").alias("n_pairs"), F.min("s").alias("min_similarity"), F.percentile("s", 0.5).alias("median_similarity"))
 
 
 def array_median(values: Column) -> Column:

@@ -263,7 +263,7 @@ def prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference windows: the vectors of label 0, a small part of the fixed-size table."""
+    """Reference windows: the vectors of label 0, which grow with the table."""
     return table(spark, sf_dir, "embeddings").filter("label = 0").select("vec_id", speakers.unit(F.col("embedding")).alias("v"))
 
 
