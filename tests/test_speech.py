@@ -156,6 +156,18 @@ def test_shards(spark):
             shards.shard(placed, 4 if not bad else 0, 4, **bad)
 
 
+def test_all_shards_are_whole(spark, tmp_path):
+    from vocspan.plans import speech
+
+    rows = [(i, speech.HELD_OUT if i % 3 else "other") for i in range(7000)]
+    df = spark.createDataFrame(rows, "source_row long, channel string")
+    kept = [i for i, c in rows if c == speech.HELD_OUT]
+    missing = [c for c in ("file", "speaker", "start_time", "end_time", "text", "audio", "split") if c not in df.columns]
+    df.select("*", *[F.lit("").alias(c) for c in missing]).write.parquet(f"{tmp_path}/ycsep_static.parquet")
+    got = {(r["shard"], r["local"], r["source_row"]) for r in speech.QUERIES["shard_all"](spark, str(tmp_path)).collect()}
+    assert len(kept) > 500 * speech.SHARDS and got == {(i % speech.SHARDS, i // speech.SHARDS, row) for i, row in enumerate(kept)}
+
+
 def test_greedy_budget_skips_and_goes_on(spark):
     rng = random.Random(4)
     rows = [(c, f"v{rng.randrange(3)}", i, round(rng.uniform(1, 30), 2)) for i, c in enumerate(rng.choices("xy", k=200))]

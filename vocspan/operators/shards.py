@@ -34,6 +34,11 @@ def shard(positioned: DataFrame, index: int, count: int, limit: int | None = Non
     return part if limit is None else part.orderBy("position").limit(limit)
 
 
+def assign(positioned: DataFrame, count: int) -> DataFrame:
+    """All rows with their shard and their position inside it."""
+    return positioned.withColumns({"shard": F.col("position") % count, "local": F.floor(F.col("position") / count)})
+
+
 def shard_rows(total: int, index: int, count: int) -> int:
     """Rows that a shard must have."""
     return max(0, -(-(total - index) // count))

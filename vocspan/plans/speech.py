@@ -84,11 +84,17 @@ def holdout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 rows of shard 3 of 8, a feature of the decoder."""
+    """The first 500 rows of shard 3 of 8, a feature of the decoder; shard_all has every row of every shard."""
     placed = shards.with_position(_segments(spark, sf_dir).filter(F.col("channel") == HELD_OUT), "source_row")
     return shards.shard(placed, 3, SHARDS, limit=500).select("source_row", "position")
 
 
+def shard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of all shards with its position inside the shard."""
+    placed = shards.with_position(_segments(spark, sf_dir).filter(F.col("channel") == HELD_OUT), "source_row")
+    return shards.assign(placed, SHARDS).select("shard", "local", "source_row")
+
+
 def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards with local positions, merged back and compared with the source."""
     placed = shards.with_position(_segments(spark, sf_dir).filter(F.col("channel") == HELD_OUT), "source_row")
@@ -319,7 +325,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_features, split_reasons, audit_channels, audit_splits, audit_buckets, audit_exclusions, audit_flags, mismatch_counts, split_leaks, overlap_by_video, overlap_totals,
-        holdout_positions, shard_rows, shard_merge, row_keys, journal_state, journal_pending, journal_export, bottom_k, clip_pools, longest_clips, representatives, budget_sample, uniform_sample, group_segments,
+        holdout_positions, shard_rows, shard_all, shard_merge, row_keys, journal_state, journal_pending, journal_export, bottom_k, clip_pools, longest_clips, representatives, budget_sample, uniform_sample, group_segments,
         normal_forms, simple_forms, score_rows, score_corpus, simple_wer, simple_row_edits, simple_by_file, simple_slices, simple_outcomes, simple_examples,
         paired_by_file, paired_comparison, paired_slices, paired_outcomes, paired_examples, wer_bootstrap,
         threshold_sweep, clip_checks, top_rejected, group_medians, detections, detected_titles, prototype, similarities, label_medians, stability, reference_pairs,
