@@ -28,6 +28,20 @@ def test_pairs_of_names(spark, utterances):
     assert got == {tuple(sorted(p)) for p in combinations((names[0], names[1], names[6]), 2)}
 
 
+def test_ids_anywhere_in_a_name(spark, utterances):
+    same = ["20200101--abcdefghijk--A.TextGrid", "Title - abcdefghijk.TextGrid", "Title_abcdefghijk.TextGrid", "abcdefghijk - Title", "abcdefghijk"]
+    dashed = ["x [-bcdefghi_k]", "Title-bcdefghi_k.TextGrid"]
+    other = ["Title - abcdefghijK.TextGrid", "xabcdefghijk", "abcdefghijk2 - Title", "short", "hello-world", "hello-world 2", "", None]
+    df = utterances(*[{"file": n} for n in [*same, *dashed, *other] * 2])
+    want = {tuple(sorted(p)) for g in (same, dashed) for p in combinations(g, 2)}
+    assert {tuple(r) for r in S.same_recording(df).collect()} == want
+    rows = S.assign_rows(df, targets(spark)).collect()
+    assert len(rows) == df.count()
+    for group in (same, dashed):
+        assert len({r["new_split"] for r in rows if r["file"] in group}) == 1
+    assert sum(r["n_components"] for r in S.shares(df, targets(spark)).collect()) == 2 + len(other)
+
+
 def test_solver_hits_the_shares():
     rng = random.Random(2)
     for _ in range(20):

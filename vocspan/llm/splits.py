@@ -40,15 +40,35 @@ def recording_id(file: Column) -> Column:
     return F.coalesce(*[F.when(file.rlike(form), F.regexp_extract(file, form, 1)) for form in ID_FORMS])
 
 
+#: Eleven characters of an id with one before and one after, cut neither from a longer word nor from a longer number.
+_SPOT = r"(?s)^(?:[^A-Za-z0-9][A-Za-z0-9_-]|.[_-])[A-Za-z0-9_-]{9}(?:[A-Za-z0-9_-][^A-Za-z0-9]|[_-].)$"
+
+
+def names_with_ids(rows: DataFrame) -> DataFrame:
+    """file, id, loose of every distinct name with an id. A name of none of the forms (loose) has the first id in it that a form
+    finds in another name, wherever it stands; eleven characters that no form ever names are no id, as a title may have them."""
+    names = rows.select("file").filter("file is not null").distinct().select("file", recording_id(F.col("file")).alias("id"))
+    plain = names.filter("id is not null")
+    spots = names.filter("id is null").filter(F.length("file") >= 11).select("file", F.explode(F.sequence(F.lit(1), F.length("file") - 10)).alias("at"))
+    around = spots.select("file", "at", F.substring(F.concat(F.lit(" "), "file", F.lit(" ")), F.col("at"), F.lit(13)).alias("x")).filter(F.col("x").rlike(_SPOT))
+    loose = around.select("file", "at", F.substring("x", 2, 11).alias("id")).join(plain.select("id").distinct(), "id").groupBy("file").agg(F.min_by("id", "at").alias("id"))
+    return plain.withColumn("loose", F.lit(False)).unionByName(loose.withColumn("loose", F.lit(True)))
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    """component, known: the component_key of every loose name and that of the recording it belongs to."""
+    return names_with_ids(rows).filter("loose").select(F.concat(F.lit("file:"), "file").alias("component"), F.concat(F.lit("id:"), "id").alias("known"))
+
+
 def component_key(file: Column) -> Column:
-    """The recording; a name without an id is a recording of its own, and so are all rows without a name."""
+    """The recording by the name alone, see names_with_ids; a name without an id is a recording of its own, and so are all rows without a name."""
     return F.coalesce(F.concat(F.lit("id:"), recording_id(file)), F.concat(F.lit("file:"), file), F.lit("none"))
 
 
 def same_recording(rows: DataFrame) -> DataFrame:
     """file_a, file_b: distinct names of one recording, smaller first by code point. Names come together once each, so a
     recording has as many rows here as it has names, not as it has utterances."""
-    names = rows.select("file").filter("file is not null").distinct().select("file", recording_id(F.col("file")).alias("id")).filter("id is not null")
+    names = names_with_ids(rows)
     a, b = names.select("id", F.col("file").alias("file_a")), names.select("id", F.col("file").alias("file_b"))
     # Spark compares UTF-8 bytes, whose order is that of code points.
     return a.join(b, "id").filter(F.col("file_a") < F.col("file_b")).select("file_a", "file_b")
@@ -216,6 +236,7 @@ def assign_components(rows: DataFrame, targets: DataFrame, seed: str = "2026") -
         raise ValueError("split targets need at least one positive share")
     keyed = rows.select(component_key(F.col("file")).alias("component"), F.coalesce(F.col("channel"), F.lit("")).alias("channel"))
     by_channel = keyed.groupBy("component", "channel").agg(F.count(F.lit(1)).alias("n"))
+    by_channel = by_channel.join(_renamed(rows), "component", "left").groupBy(F.coalesce("known", "component").alias("component"), "channel").agg(F.sum("n").alias("n"))
     top = [r["channel"] for r in by_channel.groupBy("channel").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "channel").limit(PROFILES).collect()]
     # The profile is the channel with most rows of the recording.
     components = by_channel.groupBy("component").agg(F.sum("n").alias("n_rows"), F.max_by("channel", F.struct("n", "channel")).alias("profile"))
@@ -245,6 +266,8 @@ def assign_components(rows: DataFrame, targets: DataFrame, seed: str = "2026") -
 def assign_rows(rows: DataFrame, targets: DataFrame, seed: str = "2026") -> DataFrame:
     """source_row, file, new_split of every row; rows with NULL file form one recording, repeated rows stay with theirs."""
     parts = assign_components(rows, targets, seed).select("component", F.col("split").alias("new_split"))
+    loose = _renamed(rows).join(parts.withColumnRenamed("component", "known"), "known").select("component", "new_split")
+    parts = parts.unionByName(loose)
     keyed = rows.select("source_row", "file", component_key(F.col("file")).alias("component"))
     return keyed.join(parts, "component").select("source_row", "file", "new_split")
 
