@@ -35,6 +35,10 @@ def brute(rows):
     return sorted((b, c, d) for _, b, c, d in out)
 
 
+def test_hesitations_of_any_length():
+    assert T.spoken_words(f"u{'h' * 23} e{'r' * 400}m and H{'M' * 24}") == ["and"]
+
+
 def test_turns_against_a_loop_for_any_number_of_parts(spark, utterances):
     rng = random.Random(3)
     rows = []
