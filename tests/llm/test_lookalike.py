@@ -34,6 +34,24 @@ def test_decomposed_text_comes_back(text):
     assert L.canonical(unicodedata.normalize("NFD", text)) == text
 
 
+def test_hidden_characters_all_go():
+    assert L.canonical("A" + "\ufe0f" * 20) == "A" and L.canonical("A" + "".join(chr(0xE0041 + i) for i in range(20)) + "b") == "Ab"
+    assert L.canonical("e\u200d" * 3 + "\u0301") == "ee\u00e9"
+    kept = "\u2764\ufe0f \U0001f468\u200d\U0001f469 1\ufe0f\u20e3"
+    assert L.canonical(kept) == kept and L.canonical("\u2764\ufe0f\ufe0f\ufe0f \U0001f468\u200d\u200d\U0001f469 1\ufe0f\u20e3") == kept
+
+
+def test_letters_of_more_scripts():
+    assert L.canonical("\u13aapple s\u03c3me wo\u04cf\u04cf \ua4d0ig \u2c9fld") == "Apple some woll Big old"
+    for own in ("\u13aa\u13b3\u13c8", "\u03c3\u03b1\u03c2", "\ua4d0\ua4ea"):
+        assert L.canonical(own) == own
+
+
+def test_long_stretches_take_linear_time():
+    for text in ("\u0430a" * 100_000, "\uff01" * 100_000, "A" + "\ufe0f" * 100_000, "\u4f60" + "\uff0c" * 100_000):
+        L.canonical(text)
+
+
 def test_union_find_is_transitive():
     c = L.Classes()
     c.join("a", "b")

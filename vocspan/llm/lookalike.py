@@ -21,18 +21,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of the Greek and Cyrillic (and neighbouring) alphabets drawn like a Latin letter.
+# Letters of other alphabets that the confusables data of Unicode (UTS #39) or plain sight gives the shape of one
+# Latin letter. The Unicode data of the runtime does not hold that table, so they stand here script by script.
 LATIN_TWINS = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "к": "k",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j", "ԍ": "G", "в": "b", "н": "h", "м": "m", "т": "t",
-    "ց": "g", "հ": "h", "ո": "n", "օ": "o", "ս": "u", "ք": "p", "ա": "w",
+    # Cyrillic
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ӏ": "I", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "к": "k", "в": "b", "н": "h", "м": "m", "т": "t", "ӏ": "l", "ѵ": "v", "ү": "y", "ԍ": "G",
+    # Greek
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y", "ϲ": "c", "ϳ": "j",
+    # Armenian
+    "ց": "g", "հ": "h", "ո": "n", "օ": "o", "ս": "u", "ք": "p", "ա": "w", "Օ": "O", "Ս": "U", "Լ": "L",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭲ": "T", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Ꭵ": "i",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
 }
 #: Decompositions that only change how a character is drawn.
 _STYLES = ("<font>", "<wide>", "<narrow>", "<circle>", "<square>", "<super>", "<sub>", "<small>")
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x2800}
-_ALPHABETS = ("GREEK", "CYRILLIC", "ARMENIAN", "COPTIC", "CHEROKEE")
+_ALPHABETS = ("GREEK", "CYRILLIC", "ARMENIAN", "COPTIC", "CHEROKEE", "LISU")
 
 
 class Classes:
@@ -177,28 +187,33 @@ class Rewriter:
         self.automaton.make_automaton()
 
     def rewrite(self, text: str) -> str:
-        """The one form of a text; at most as many passes as a character has layers of variants."""
-        for _ in range(8):
-            new = self._pass(text)
-            if new == text:
-                return text
+        """The one form of a text: passes until one changes nothing.
+
+        A pass replaces members of classes by representatives, which no pass replaces again, or joins a letter and its
+        accents to fewer characters, so passes come to an end.
+        """
+        while (new := self._pass(text)) != text:
             text = new
         return text
 
     def _pass(self, text: str) -> str:
         out, at = [], 0
+        around = _Context(text)
         for end, variant in self.automaton.iter_long(text):
             start = end - len(variant) + 1
             plain, kind = self.target[variant]
-            if kind == "hidden" and _needed(text, start, end + 1):
-                continue
-            if kind == "script" and not _in_word_of(_script(plain[0]), text, start):
+            if kind == "hidden":
+                # What stands before is the text as rewritten so far: a hidden character is not needed by one that goes itself.
+                before = text[start - 1] if start > at else out[-1][-1] if out else ""
+                if _needed(text[start], before, text[end + 1 : end + 2]):
+                    continue
+            elif kind == "script" and not around.in_word_of(_script(plain[0]), start):
                 continue
-            if kind == "style" and _east_asian_mark(text, start, end + 1, variant):
+            elif kind == "style" and around.east_asian_mark(start, end + 1, variant):
                 continue
-            out += (text[at:start], plain)
+            out += [x for x in (text[at:start], plain) if x]
             at = end + 1
-        return "".join((*out, text[at:])) if out else text
+        return "".join((*out, text[at:])) if at else text
 
 
 def _script(ch: str) -> str:
@@ -212,11 +227,10 @@ def _pictorial(ch: str) -> bool:
 _JOINING = ("ARABIC", "HEBREW", "SYRIAC", "THAANA", "NKO", "MONGOLIAN", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "KHMER", "MYANMAR", "TIBETAN", "THAI", "LAO")
 
 
-def _needed(text: str, start: int, end: int) -> bool:
-    """A hidden character that its neighbours need: joined emoji, selectors and tags after a symbol, scripts with joiners."""
-    ch, before, after = text[start], text[start - 1 : start], text[end : end + 1]
+def _needed(ch: str, before: str, after: str) -> bool:
+    """A hidden character that its neighbours need: joined emoji, one selector or tags after a symbol, scripts with joiners."""
     if _is_selector(ch):
-        return bool(before) and not before.isspace() and unicodedata.category(before)[0] != "L"
+        return bool(before) and not before.isspace() and not _is_selector(before) and unicodedata.category(before)[0] != "L"
     if _is_tag(ch):
         return bool(before) and _pictorial(before)
     if ch in "\u200c\u200d":
@@ -229,18 +243,54 @@ def _needed(text: str, start: int, end: int) -> bool:
     return ch in "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
 
 
-def _in_word_of(home: str, text: str, at: int) -> bool:
-    """Whether the letter stands in a word with letters of the script home, or in one that mixes other alphabets."""
-    i = j = at
-    while i and _wordly(text[i - 1]):
-        i -= 1
-    while j + 1 < len(text) and _wordly(text[j + 1]):
-        j += 1
-    if _script(text[at]) == home:
-        return False
-    word = text[i : j + 1]
-    seen = {s for c in word if c.isalpha() and (s := _plain_script(c))}
-    return home in seen or (len(seen) > 1 and all(c in LATIN_TWINS or not c.isalpha() for c in word))
+class _Context:
+    """What stands around a place of a text. Every word and every stretch without letters is looked at once, however many
+    matches lie in it."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.word = (0, 0, frozenset(), False)
+        self.letters: tuple[list[int], list[int]] | None = None
+
+    def _scripts(self, at: int) -> tuple[frozenset[str], bool]:
+        """Scripts of the letters of the word at a place, and whether all of its letters have a Latin twin."""
+        i, j, scripts, twins = self.word
+        if not i <= at < j:
+            i, j = at, at + 1
+            while i and _wordly(self.text[i - 1]):
+                i -= 1
+            while j < len(self.text) and _wordly(self.text[j]):
+                j += 1
+            word = self.text[i:j]
+            scripts = frozenset(s for c in set(word) if c.isalpha() and (s := _plain_script(c)))
+            twins = all(c in LATIN_TWINS or not c.isalpha() for c in set(word))
+            self.word = (i, j, scripts, twins)
+        return scripts, twins
+
+    def in_word_of(self, home: str, at: int) -> bool:
+        """Whether the letter stands in a word with letters of the script home, or in one that mixes other alphabets."""
+        if _script(self.text[at]) == home:
+            return False
+        scripts, twins = self._scripts(at)
+        return home in scripts or (len(scripts) > 1 and twins)
+
+    def east_asian_mark(self, start: int, end: int, variant: str) -> bool:
+        """A full-width mark whose nearest letter in the line, the one before it first, is East Asian stands for itself."""
+        if len(variant) != 1 or unicodedata.category(variant)[0] not in "PS" or unicodedata.east_asian_width(variant) != "F":
+            return False
+        if self.letters is None:
+            before, after, last = [-1] * (len(self.text) + 1), [-1] * (len(self.text) + 1), -1
+            for i, c in enumerate(self.text):
+                before[i] = last
+                last = i if c.isalnum() else -1 if c == "\n" else last
+            last = -1
+            for i in range(len(self.text) - 1, -1, -1):
+                c = self.text[i]
+                last = i if c.isalnum() else -1 if c == "\n" else last
+                after[i] = last
+            self.letters = before, after
+        nearest = self.letters[0][start] if self.letters[0][start] >= 0 else self.letters[1][end]
+        return nearest >= 0 and _script(self.text[nearest]) in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "KATAKANA-HIRAGANA")
 
 
 def _plain_script(ch: str) -> str:
@@ -256,20 +306,6 @@ def _wordly(ch: str) -> bool:
     return ch.isalpha() or unicodedata.category(ch) in ("Mn", "Cf")
 
 
-def _east_asian_mark(text: str, start: int, end: int, variant: str) -> bool:
-    """A full-width mark whose nearest letter is East Asian stands for itself."""
-    if len(variant) != 1 or unicodedata.category(variant)[0] not in "PS" or unicodedata.east_asian_width(variant) != "F":
-        return False
-    for step, i, stop in ((-1, start - 1, -1), (1, end, len(text))):
-        while i != stop:
-            if text[i].isalnum():
-                return _script(text[i]) in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "KATAKANA-HIRAGANA")
-            if text[i] == "\n":
-                break
-            i += step
-    return False
-
-
 @lru_cache(maxsize=4)
 def rewriter(representatives: tuple[tuple[str, str], ...] = ()) -> Rewriter:
     return Rewriter(dict(representatives))
