@@ -25,8 +25,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered turns per file with clean text; position is the order inside the file."""
-    return transcripts.turns(table(spark, sf_dir, "ycsep_static"), with_text=True).orderBy("file", "start_ms", "first_row")
+    """Ordered turns per file with clean text, long turns in numbered pieces."""
+    return transcripts.turns(table(spark, sf_dir, "ycsep_static"), with_text=True).orderBy("file", "start_ms", "first_row", "piece")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
