@@ -16,7 +16,14 @@ def distance(a, b):
     return prev[-1]
 
 
-def test_banded_distance_and_extension():
+def longest_chain(seeds):
+    best = {}
+    for s in sorted(set(seeds)):
+        best[s] = 1 + max((n for t, n in best.items() if t[0] < s[0] and t[1] < s[1]), default=0)
+    return max(best.values(), default=0)
+
+
+def test_chains_and_extension():
     rng = random.Random(1)
     for _ in range(300):
         a = [rng.choice("abcd") for _ in range(rng.randrange(0, 30))]
@@ -24,9 +31,12 @@ def test_banded_distance_and_extension():
         for _ in range(rng.randrange(0, 5)):
             i = rng.randrange(len(b) + 1)
             b[i : i + rng.randrange(2)] = rng.choice([[], ["x"], ["y"]])
-        d = distance(a, b)
-        for limit in (0, 2, 4):
-            assert O.edit_distance_within(a, b, limit) == (d if d <= limit else None)
+        d, limit = distance(a, b), O.allowed_edits(max(len(a), len(b)))
+        seeds = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]]
+        got = O.extend(a, b, seeds)
+        assert O.extend(a, b, []) == (d if d <= limit else None) and (got is None) == (d > limit) and (got is None or d <= got <= limit)
+        ends = O.chain(seeds)
+        assert len(ends) == longest_chain(seeds) and all(x < u and y < v for (x, y), (u, v) in zip(ends, ends[1:]))
     assert O.chain([(0, 0), (5, 3), (3, 5), (8, 8)]) in ([(0, 0), (5, 3), (8, 8)], [(0, 0), (3, 5), (8, 8)])
 
 
@@ -77,6 +87,22 @@ def test_empty_and_nulls(spark, utterances):
     assert O.found(utterances({}, {}, {"split": "train"}, {"split": "test"})).count() == 0
 
 
+def test_short_texts_of_many_words(spark, utterances):
+    letters = [chr(97 + i) for i in range(16)]
+    text = " ".join(letters) + " \u33c2 \u33d8 1"  # 16 + a m, p m, 1 in few characters
+    assert len(text) < 39 and len(spoken_words(text)) >= 20 and len(set(spoken_words(text))) >= 15
+    assert O.found(utterances({"text": text, "split": "train"}, {"text": text, "split": "test"})).count() == 1
+
+
+def test_report_forms_no_pairs(spark, utterances):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = utterances(*[{"text": text, "split": "train", "audio": "https://h/a.mp3"}] * 300, *[{"text": text + (" x" if i % 2 else ""), "split": "test", "audio": "https://h/a.mp3"} for i in range(300)])
+    got = O.report(df).first()
+    assert (got["n_rows"], got["n_audio"], got["n_exact"], got["n_near"], got["n_any"], round(got["coverage"], 9)) == (300, 300, 150, 150, 300, round((150 + 150 * 30 / 31) / 300, 9))
+    kept = O.records(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "train_row" not in kept and "eval_row" not in kept
+
+
 def test_long_text(spark, utterances):
     text = " ".join(f"w{i % 900}x{i // 7 % 11}" for i in range(20_000))
     df = utterances({"text": text, "split": "train"}, {"text": text.replace("w5x", "v5x"), "split": "test"})
@@ -135,14 +161,19 @@ def test_coverage_is_that_of_the_alignment(spark, utterances):
     rows += [{"source_row": 200, "text": " ".join(n26), "split": "train"}, {"source_row": 201, "text": " ".join([*n26[:13], "odd", *n26[14:]]), "split": "test", "file": "one"}]
     rows += [{"source_row": 300, "split": "train", "audio": "https://a.example/1.mp3"}, {"source_row": 301, "split": "test", "audio": "https://a.example/1.mp3", "file": "heard"}]
     said = {r["source_row"]: spoken_words(r.get("text")) for r in rows}
+    rows_split = {r["source_row"]: r["split"] for r in rows}
     want = {}
     for a, b in brute(rows):
         edits, equal = best_alignment(said[a], said[b])
         want[a, b] = equal / len(said[b]) if said[b] else None
     assert len(want) > 40 and want[200, 201] == 25 / 26 and want[300, 301] is None
     df = utterances(*rows)
+    best = {}
+    for (a, b), c in want.items():
+        row = b if rows_split[b] != "train" else a
+        best[row] = max(filter(None, (best.get(row), c)), default=None)
     for parts, share in ((1, O.COMMON_SHARE), (7, 0.5)):
-        got = O.overlaps(df.repartition(parts), share).collect()
-        assert {(r["train_row"], r["eval_row"]): r["coverage"] for r in got} == want
+        assert {(r["train_row"], r["eval_row"]) for r in O.overlaps(df.repartition(parts), share).collect()} == set(want)
+        assert {r["source_row"]: r["covered"] for r in O.records(df.repartition(parts), share).collect()} == best
     report = {r["file"]: (r["n_any"], r["coverage"]) for r in O.report(df).collect()}
     assert report["one"] == (1, 25 / 26) and report["heard"] == (1, 0.0)

@@ -7,14 +7,18 @@ words with at most n/10 edits always keep a run of six equal words, so they shar
 Common phrases would join everything with everything. The minimum is therefore taken in the order (frequency, hash), and
 of every text the most frequent windows are left out as far as the edits allow it: an edit breaks at most six windows, so
 a text of n words keeps at least I = n - 5 - 6 * floor(n / 9) windows, and its I - 1 most frequent ones are not needed.
-A hash that is kept is kept at all of its places. Frequencies only order the windows; any order gives the same result. Candidates must agree in place and length up to the
-allowed edits; their seeds are chained along ascending positions and the alignment is extended over the whole texts by a
-banded edit distance that decides. Coverage counts the equal words of the best alignment of a pair, not its seeds, so it
-depends on the two texts alone.
+A hash that is kept is kept at all of its places. Frequencies only order the windows; any order gives the same result.
+Candidates must agree in place and length up to the allowed edits; their seeds are chained along ascending positions and the
+alignment is extended over the gaps between them, and over the whole texts where that does not settle it. Coverage counts the
+equal words of the best alignment of a pair, not its seeds, so it depends on the two texts alone.
+
+Spoken text is written once: one row per utterance that can be in a pair, of which one in every class of exact copies stands
+for the class. Pairs of rows are formed for ``found`` only; the report joins records with facts of their classes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocspan.llm.transcripts import spoken_words
+from vocspan.functions.text import sequence_edits
+from vocspan.llm.transcripts import once, spoken_words
 from vocspan.session import cut
 
 GRAM, WINDOW = 5, 2
@@ -87,61 +92,49 @@ def select_minima(hashes: np.ndarray, text: np.ndarray, n_words: np.ndarray, com
     return np.unique(pick[place < (windows - spare_windows(n_words))[owner]])
 
 
-def edit_distance_within(a: list, b: list, limit: int) -> int | None:
-    """Edit distance of two sequences if it is at most ``limit``; only the band of ``limit`` diagonals is computed."""
-    if abs(len(a) - len(b)) > limit:
-        return None
-    far = limit + 1
-    prev = {j: j for j in range(min(len(b), limit) + 1)}
-    for i, x in enumerate(a, 1):
-        cur = {}
-        for j in range(max(0, i - limit), min(len(b), i + limit) + 1):
-            if j == 0:
-                cur[j] = i
-                continue
-            best = prev.get(j - 1, far) + (x != b[j - 1])
-            best = min(best, prev.get(j, far) + 1, cur.get(j - 1, far) + 1)
-            cur[j] = best
-        if min(cur.values()) > limit:
-            return None
-        prev = cur
-    got = prev.get(len(b), far)
-    return got if got <= limit else None
-
-
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of seeds with ascending positions in both texts."""
-    seeds = sorted(set(seeds))
-    best: list[tuple[int, int]] = []
-    size, back = [1] * len(seeds), [-1] * len(seeds)
-    for i, (x, y) in enumerate(seeds):
-        for j in range(i):
-            if seeds[j][0] < x and seeds[j][1] < y and size[j] + 1 > size[i]:
-                size[i], back[i] = size[j] + 1, j
-    at = max(range(len(seeds)), key=size.__getitem__, default=-1)
-    while at >= 0:
-        best.append(seeds[at])
-        at = back[at]
+    """A longest chain of seeds with ascending positions in both texts, in time n log n."""
+    # Of equal first positions the later second one comes first, so a chain takes one of them at most.
+    ordered = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
+    ends: list[int] = []
+    at: list[int] = []
+    back = [-1] * len(ordered)
+    for i, (_, y) in enumerate(ordered):
+        k = bisect_left(ends, y)
+        back[i] = at[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(y)
+            at.append(i)
+        else:
+            ends[k], at[k] = y, i
+    best, i = [], at[-1] if at else -1
+    while i >= 0:
+        best.append(ordered[i])
+        i = back[i]
     return best[::-1]
 
 
 def extend(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> int | None:
     """Edits between two texts, if they are few enough. The gaps between chained seeds are aligned first, which often settles it;
-    otherwise the whole texts are aligned within the band."""
+    otherwise the whole texts are aligned."""
     limit = allowed_edits(max(len(a), len(b)))
     if a == b:
         return 0
+    if abs(len(a) - len(b)) > limit:
+        return None
     total, x, y = 0, 0, 0
     for i, j in [*chain(seeds), (len(a), len(b))]:
         if i < x or j < y:  # seeds overlap; their words are equal
             continue
-        part = edit_distance_within(a[x:i], b[y:j], limit - total)
-        if part is None:
-            break
-        total, x, y = total + part, min(i + GRAM, len(a)), min(j + GRAM, len(b))
+        if i > x or j > y:
+            total += sequence_edits(a[x:i], b[y:j])
+            if total > limit:
+                break
+        x, y = min(i + GRAM, len(a)), min(j + GRAM, len(b))
     else:
         return total
-    return edit_distance_within(a, b, limit)
+    whole = sequence_edits(a, b)
+    return whole if whole <= limit else None
 
 
 def equal_words(a: list[str], b: list[str], limit: int) -> tuple[int, int]:
@@ -193,10 +186,15 @@ def _side(split: Column) -> Column:
     return F.when(low == "train", F.lit(True)).when(low.isin("validation", "test"), F.lit(False))
 
 
-def audio_pairs(rows: DataFrame) -> DataFrame:
-    """train_row, eval_row with the same clip."""
+def clips(rows: DataFrame) -> DataFrame:
+    """source_row, train, key (128-bit hash of host and path) of the rows whose audio address leads somewhere; written once."""
     keyed = rows.select("source_row", _side(F.col("split")).alias("train"), audio_key(F.col("audio")).alias("key")).filter("key is not null and train is not null")
-    left, right = keyed.filter("train").select("key", F.col("source_row").alias("train_row")), keyed.filter("not train").select("key", F.col("source_row").alias("eval_row"))
+    return cut(keyed.withColumn("key", F.unhex(F.md5(F.col("key").cast("binary")))))
+
+
+def audio_pairs(held: DataFrame) -> DataFrame:
+    """train_row, eval_row with the same clip. held: see clips."""
+    left, right = held.filter("train").select("key", F.col("source_row").alias("train_row")), held.filter("not train").select("key", F.col("source_row").alias("eval_row"))
     return left.join(right, "key").select("train_row", "eval_row")
 
 
@@ -208,8 +206,9 @@ def eligible(rows: DataFrame) -> DataFrame:
         words = [spoken_words(t) for t in texts]
         return pd.DataFrame({"said": [" ".join(w) for w in words], "n": [len(w) for w in words], "kinds": [len(set(w)) for w in words]}).astype({"n": "int32", "kinds": "int32"})
 
-    # Twenty words and the spaces between them are never shorter than this.
-    texts = rows.filter(F.length("text") >= 2 * MIN_WORDS - 1).select("source_row", _side(F.col("split")).alias("train"), speak("text").alias("x"))
+    # Twenty words of ASCII and the spaces between them are never shorter than this; other characters may stand for several words.
+    long = (F.length("text") >= 2 * MIN_WORDS - 1) | F.col("text").rlike(r"[^\x00-\x7F]")
+    texts = rows.filter(long).select("source_row", _side(F.col("split")).alias("train"), once(speak)("text").alias("x"))
     out = texts.filter((F.col("x.n") >= MIN_WORDS) & (F.col("x.kinds") >= MIN_DISTINCT) & F.col("train").isNotNull())
     return out.select("source_row", "train", F.unhex(F.md5(F.col("x.said").cast("binary"))).alias("cls"), F.col("x.said").alias("said"), F.col("x.n").alias("n"))
 
@@ -242,13 +241,22 @@ def _common_hashes(classes: DataFrame, share: float) -> tuple[np.ndarray, np.nda
     return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def near_classes(classes: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
+def classes_of(texts: DataFrame) -> DataFrame:
+    """cls, head, in_train, in_eval of every class of exact copies; head is the smallest source_row, whose text stands for all."""
+    return texts.groupBy("cls").agg(F.min("source_row").alias("head"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
+
+
+def near_classes(texts: DataFrame, classes: DataFrame, share: float = COMMON_SHARE, with_coverage: bool = False) -> DataFrame:
     """train_cls, eval_cls, edits, n_words, covered of different texts with few enough edits, one in training and one in evaluation.
 
-    ``covered`` is the number of words of the evaluation text that the alignment finds equal in the training text. classes: cls, said, n, in_train, in_eval.
+    ``covered`` is the number of words of the evaluation text that the alignment finds equal in the training text, NULL unless it is
+    asked for. texts: source_row, cls, said, n; classes: see classes_of.
     """
-    common, rank = _common_hashes(classes, share)
-    spark = classes.sparkSession
+    # A repeated source_row may head its class twice.
+    heads = texts.select(F.col("source_row").alias("head"), "cls", "said", "n").join(classes, ["cls", "head"]).select("cls", "said", "n", "in_train", "in_eval").dropDuplicates(["cls"])
+    heads = cut(heads)
+    common, rank = _common_hashes(heads, share)
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((common, rank))
 
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,50 +267,51 @@ def near_classes(classes: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
             h, text, at = gram_hashes(pdf["said"].tolist())
             pick = select_minima(h, text, pdf["n"].to_numpy(np.int64), hot, weight)
             own = pdf.iloc[text[pick]]
-            yield pd.DataFrame({"h": h[pick], "cls": own["cls"].to_numpy(), "n": own["n"].to_numpy(), "at": at[pick].astype("int32"), "in_train": own["in_train"].to_numpy(), "in_eval": own["in_eval"].to_numpy()})
+            yield pd.DataFrame({"h": h[pick], "cls": own["cls"].to_numpy(), "n": own["n"].to_numpy(), "at": at[pick].astype("int32")})
 
-    prints = cut(classes.select("cls", "said", "n", "in_train", "in_eval").mapInPandas(fingerprints, "h long, cls binary, n int, at int, in_train boolean, in_eval boolean"))
-    a = prints.filter("in_train").select("h", F.col("cls").alias("train_cls"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    b = prints.filter("in_eval").select("h", F.col("cls").alias("eval_cls"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    # Few classes are on both sides, so hardly any is hashed twice.
+    prints = lambda side: heads.filter(side).select("cls", "said", "n").mapInPandas(fingerprints, "h long, cls binary, n int, at int")
+    a = prints("in_train").select("h", F.col("cls").alias("train_cls"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    b = prints("in_eval").select("h", F.col("cls").alias("eval_cls"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     limit = F.floor(F.greatest("n_a", "n_b") / 10)
     hits = a.join(b, "h").filter((F.abs(F.col("at_a") - F.col("at_b")) <= limit) & (F.abs(F.col("n_a") - F.col("n_b")) <= limit) & (F.col("train_cls") != F.col("eval_cls")))
     # At most as many seeds as a text has windows.
     pairs = hits.groupBy("train_cls", "eval_cls").agg(F.collect_set(F.struct("at_a", "at_b")).alias("seeds"))
-    texts = classes.select("cls", "said")
-    both = pairs.join(texts.select(F.col("cls").alias("train_cls"), F.col("said").alias("said_a")), "train_cls").join(texts.select(F.col("cls").alias("eval_cls"), F.col("said").alias("said_b")), "eval_cls")
+    said = heads.select("cls", "said")
+    both = pairs.join(said.select(F.col("cls").alias("train_cls"), F.col("said").alias("said_a")), "train_cls").join(said.select(F.col("cls").alias("eval_cls"), F.col("said").alias("said_b")), "eval_cls")
 
-    @F.pandas_udf("edits int, covered int")
+    @F.pandas_udf("edits int, covered int, n_words int")
     def align(said_a: pd.Series, said_b: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        edits, covered = [], []
+        edits, covered, size = [], [], []
         for x, y, s in zip(said_a, said_b, seeds, strict=True):
             a, b = x.split(" "), y.split(" ")
             within = extend(a, b, [(p["at_a"], p["at_b"]) for p in s])
-            fewest, equal = (None, 0) if within is None else equal_words(a, b, within)
+            fewest, equal = equal_words(a, b, within) if with_coverage and within is not None else (within, None)
             edits.append(fewest)
             covered.append(equal)
-        return pd.DataFrame({"edits": pd.array(edits, dtype="Int32"), "covered": np.array(covered, "int32")})
+            size.append(len(b))
+        return pd.DataFrame({"edits": pd.array(edits, dtype="Int32"), "covered": pd.array(covered, dtype="Int32"), "n_words": np.array(size, "int32")})
 
-    done = both.withColumn("x", align("said_a", "said_b", "seeds")).filter(F.col("x.edits").isNotNull())
-    return done.select("train_cls", "eval_cls", "x.edits", F.size(F.split("said_b", " ")).alias("n_words"), "x.covered")
+    done = both.withColumn("x", once(align)("said_a", "said_b", "seeds")).filter(F.col("x.edits").isNotNull())
+    return done.select("train_cls", "eval_cls", "x.edits", "x.n_words", "x.covered")
 
 
 def overlaps(rows: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
-    """train_row, eval_row, kind (audio, exact, near), coverage: every overlap across the splits.
+    """train_row, eval_row, kind (audio, exact, near): every overlap across the splits.
 
-    ``coverage`` is the share of the evaluation text's words that are equal in the training text: 1 for exact pairs, NULL for
-    audio, which says nothing about words. A pair may come once of every kind. NULL or unusable audio, NULL text and unknown splits take no part; repeated rows
-    form pairs of their own; other columns are ignored.
+    A pair may come once of every kind. NULL or unusable audio, NULL text and unknown splits take no part; repeated rows form pairs
+    of their own; other columns are ignored.
     """
     base = rows.select("source_row", "split", "audio", "text")
     texts = cut(eligible(base))
-    classes = cut(texts.groupBy("cls").agg(F.any_value("said").alias("said"), F.max("n").alias("n"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")))
-    near = cut(near_classes(classes, share))
+    classes = classes_of(texts)
+    near = near_classes(texts, classes, share)
     train = texts.filter("train").select(F.col("source_row").alias("train_row"), F.col("cls").alias("train_cls"))
     held = texts.filter("not train").select(F.col("source_row").alias("eval_row"), F.col("cls").alias("eval_cls"))
-    exact = train.join(held, F.col("train_cls") == F.col("eval_cls")).select("train_row", "eval_row", F.lit("exact").alias("kind"), F.lit(1.0).alias("coverage"))
-    close = near.join(train, "train_cls").join(held, "eval_cls").select("train_row", "eval_row", F.lit("near").alias("kind"), (F.col("covered") / F.col("n_words")).alias("coverage"))
-    clips = audio_pairs(base).select("train_row", "eval_row", F.lit("audio").alias("kind"), F.lit(None).cast("double").alias("coverage"))
-    return exact.unionByName(close).unionByName(clips)
+    exact = train.join(held, F.col("train_cls") == F.col("eval_cls")).select("train_row", "eval_row", F.lit("exact").alias("kind"))
+    close = near.join(train, "train_cls").join(held, "eval_cls").select("train_row", "eval_row", F.lit("near").alias("kind"))
+    sound = audio_pairs(clips(base)).select("train_row", "eval_row", F.lit("audio").alias("kind"))
+    return exact.unionByName(close).unionByName(sound)
 
 
 def found(rows: DataFrame) -> DataFrame:
@@ -311,14 +320,33 @@ def found(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("train_row", "eval_row").alias("row_a"), F.greatest("train_row", "eval_row").alias("row_b")).distinct()
 
 
+def records(rows: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
+    """source_row, exact, near, audio, covered of the evaluation records with an overlap; no pair of rows is formed.
+
+    A record has the facts of its class: whether the class is in training, and the largest share of its words that one near training
+    class covers; 1 for exact copies, NULL for audio, which says nothing about words. Copies meet in partial aggregates.
+    """
+    base = rows.select("source_row", "split", "audio", "text")
+    texts = cut(eligible(base))
+    classes = classes_of(texts)
+    near = near_classes(texts, classes, share, with_coverage=True)
+    best = near.groupBy(F.col("eval_cls").alias("cls")).agg(F.max(F.col("covered") / F.col("n_words")).alias("near_covered"))
+    facts = classes.filter("in_eval").join(best, "cls", "left").select("cls", F.col("in_train").alias("exact"), F.col("near_covered").isNotNull().alias("near"), F.when(F.col("in_train"), F.lit(1.0)).otherwise(F.col("near_covered")).alias("covered"))
+    said = texts.filter("not train").select("source_row", "cls").join(facts.filter("exact or near"), "cls").select("source_row", "exact", "near", F.lit(False).alias("audio"), "covered")
+    held = clips(base)
+    known = held.groupBy("key").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")).filter("in_train and in_eval").select("key")
+    heard = held.filter("not train").join(known, "key").select("source_row", F.lit(False).alias("exact"), F.lit(False).alias("near"), F.lit(True).alias("audio"), F.lit(None).cast("double").alias("covered"))
+    return said.unionByName(heard).groupBy("source_row").agg(*[F.max(k).alias(k) for k in ("exact", "near", "audio", "covered")])
+
+
 def report(rows: DataFrame) -> DataFrame:
     """split, channel, file, n_rows, n_audio, n_exact, n_near, n_any, coverage of every evaluation split and source, zero where none overlaps.
 
     A record's coverage is the largest share of its words that one exact or near training record has; other records, those with
     the same audio alone included, count as 0. ``coverage`` is the mean over the source.
     """
-    hit = overlaps(rows).groupBy("eval_row").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k) for k in ("audio", "exact", "near")], F.max("coverage").alias("covered"))
+    hit = records(rows).withColumnRenamed("source_row", "eval_row")
     held = rows.filter(~_side(F.col("split"))).select("source_row", "split", "channel", "file")
-    flags = [F.sum(F.coalesce(F.col(k), F.lit(0)).cast("long")).alias(f"n_{k}") for k in ("audio", "exact", "near")]
+    flags = [F.count_if(F.col(k)).alias(f"n_{k}") for k in ("audio", "exact", "near")]
     joined = held.join(hit, held["source_row"] == hit["eval_row"], "left")
     return joined.groupBy("split", "channel", "file").agg(F.count(F.lit(1)).alias("n_rows"), *flags, F.count("eval_row").alias("n_any"), F.avg(F.coalesce("covered", F.lit(0.0))).alias("coverage"))

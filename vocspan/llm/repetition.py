@@ -68,5 +68,6 @@ def shares(fields: DataFrame) -> DataFrame:
 
 def found(fields: DataFrame) -> DataFrame:
     """source_row, field of the texts of at least 12 words with at least half of them repeated."""
-    # Twelve words are never shorter than twelve characters.
-    return shares(fields.filter(F.length("text") >= MIN_WORDS)).filter((F.col("n_words") >= MIN_WORDS) & (F.col("share") >= MIN_SHARE)).select("source_row", "field")
+    # Twelve words of ASCII are never shorter than this; other characters may stand for several words.
+    long = (F.length("text") >= 2 * MIN_WORDS - 1) | F.col("text").rlike(r"[^\x00-\x7F]")
+    return shares(fields.filter(long)).filter((F.col("n_words") >= MIN_WORDS) & (F.col("share") >= MIN_SHARE)).select("source_row", "field")

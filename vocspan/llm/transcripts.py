@@ -95,6 +95,11 @@ def spoken_text(text: str | None) -> str:
     return re.sub(r"^[\s,.;:!?…]+", "", said).strip() if _WORD.search(said) else ""
 
 
+def once(function):  # noqa: ANN001, ANN201
+    """The Python function marked so that a filter on its result is not moved below it, where it would be computed a second time."""
+    return function.asNondeterministic()
+
+
 def segments(rows: DataFrame, with_text: bool = False) -> DataFrame:
     """file, source_row, start_ms, end_ms, speaker, cue (and text) of the rows that take part in turns; cue: the head names the speaker.
 
@@ -120,7 +125,7 @@ def segments(rows: DataFrame, with_text: bool = False) -> DataFrame:
                 speech.append(any(m[0][0] not in _STARTS or not is_hesitation(m[0]) for m in _WORD.finditer(clean_text(plain))))
         return pd.DataFrame({"head": pd.Series(heads, dtype=object), "speech": speech, "said": pd.Series(said, dtype=object)})
 
-    seen = timed.withColumn("x", look("text", "label")).filter(F.col("x.speech"))
+    seen = timed.withColumn("x", once(look)("text", "label")).filter(F.col("x.speech"))
     named = seen.select("file", "source_row", "start_ms", "end_ms", F.coalesce("label", clean_speaker(F.col("x.head"))).alias("speaker"), F.col("x.head").isNotNull().alias("cue"), F.col("x.said").alias("text"))
     named = named.filter(F.col("speaker").isNotNull())
     return named if with_text else named.drop("text")
