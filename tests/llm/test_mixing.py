@@ -26,11 +26,21 @@ def test_budget(spark):
     docs, targets = make(spark, {"a": 400, "b": 400}, [("a", 0.75, 1), ("b", 0.25, 1)])
     mixture, _ = M.mix(docs, targets, budget=2000)
     total = mixture.agg(F.sum("n_tokens")).first()[0]
-    assert 1960 <= total <= 2000
+    assert abs(total - 2000) <= 11  # half a document of each source
     everything, _ = M.mix(docs, targets, budget=10**9)
     assert everything.count() == 801  # the two sources once each and the empty text
 
 
+def test_every_source_is_within_half_a_document(spark):
+    for scale in ("0.01", "0.1"):
+        folder = f"/root/testdata/sf{scale}"
+        mixture, shares = M.mix(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/mix_targets.parquet"))
+        largest = {r["source"]: r["n"] for r in mixture.groupBy("source").agg(F.max("n_tokens").alias("n")).collect()}
+        got = shares.collect()
+        end = min(r["available_tokens"] * k / r["target_share"] for r in got for k in [next(t["max_repeats"] for t in spark.read.parquet(f"{folder}/mix_targets.parquet").collect() if t["source"] == r["source"])])
+        assert all(abs(r["n_tokens"] - r["target_share"] * end) <= largest.get(r["source"], 10**6) / 2 + 1 for r in got)
+
+
 def test_virtual_end_goes_on_without_used_up_sources():
     end = M.virtual_end({"a": 100, "b": 1000}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, budget=600)
     assert end == 1000 and min(0.5 * end, 100) + 0.5 * end == 600

@@ -2,7 +2,8 @@
 
 Weighted fair queueing: the documents of a source stand in the order of a hash, and each has a virtual finish time, the
 source's tokens up to and including it divided by the source's weight; further passes over a source go on from its total.
-All documents that finish by the time V at which the sources together reach the budget are taken, in one global order.
+The mixture ends at the time V at which the sources together reach the budget, in one global order; a document that V falls
+into is taken if at least half of it lies before V, so a source is never further from its share than half a document.
 Cumulative tokens come from sums of hash slots, so a source with a third of all documents is spread over thousands of windows.
 """
 
@@ -68,11 +69,12 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, pat
     inside = Window.partitionBy("source", "slot").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "slot"]).join(F.broadcast(small.filter("w > 0 and total > 0 and r > 0")), "source")
     placed = placed.withColumn("upto", F.col("upto") + F.col("before"))
-    passes = F.least(F.col("r"), F.ceil(F.lit(end) * F.col("w") / F.col("total")).cast("int"))
+    passes = F.least(F.col("r"), (F.floor(F.lit(end) * F.col("w") / F.col("total")) + 1).cast("int"))
     each = placed.withColumn("pass_no", F.explode(F.when(passes >= 1, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))))
     finish = ((F.col("pass_no") - 1) * F.col("total") + F.col("upto")) / F.col("w")
-    # The share of the last document before V may be held back by the rounding of doubles.
-    taken = each.withColumn("virtual_finish", finish).filter(F.col("virtual_finish") <= end * (1 + 1e-12)).select("doc_id", "source", "pass_no", "n_tokens", "virtual_finish")
+    middle = F.col("virtual_finish") - F.col("n_tokens") / (2 * F.col("w"))
+    # The last document of a source that is used up may be held back by the rounding of doubles.
+    taken = each.withColumn("virtual_finish", finish).filter(middle <= end * (1 + 1e-12)).select("doc_id", "source", "pass_no", "n_tokens", "virtual_finish")
     got = taken.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     shares = small.join(F.broadcast(got), "source", "left").fillna(0, ["n_documents", "n_tokens"])
     all_tokens = F.greatest(F.sum("n_tokens").over(Window.partitionBy()), F.lit(1))

@@ -139,10 +139,15 @@ QUERIES = {
     "p10_profile": p10_profile,
     "p10_validation": p10_validation,
 }
-_ID_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(file, '{form}', 1), '')" for form in splits.ID_FORMS) + ")"
 #: For the others SQL lacks the normal forms, tokenizers, folds or models; tests compare them with brute force.
 ORACLE = {
-    "p5_found": f"""
-WITH names AS (SELECT DISTINCT file, {_ID_SQL} AS id FROM ycsep_static WHERE file IS NOT NULL)
-SELECT a.file AS file_a, b.file AS file_b FROM names a JOIN names b USING (id) WHERE a.file < b.file""",
+    # By the wording alone: an id in the usual place of one name (date--id--title), anywhere in another one that has none there.
+    "p5_found": """
+WITH names AS (SELECT DISTINCT file FROM ycsep_static WHERE file IS NOT NULL),
+cut AS (SELECT file, CASE WHEN file[1:8] SIMILAR TO '[0-9]{8}' AND file[9:10] = '--' AND file[22:23] = '--' AND file[11:21] SIMILAR TO '[A-Za-z0-9_-]{11}' THEN file[11:21] END AS own FROM names),
+windows AS (SELECT file, file[i:i+10] AS w FROM (SELECT file, unnest(range(1, length(file) - 9)) AS i FROM cut WHERE own IS NULL)),
+shaped AS (SELECT DISTINCT file, w FROM windows WHERE w SIMILAR TO '[A-Za-z0-9_-]{11}' AND NOT w SIMILAR TO '[A-Za-z]?[a-z_-]+[0-9]*'),
+known AS (SELECT own AS id FROM cut WHERE own IS NOT NULL UNION SELECT w FROM shaped WHERE w SIMILAR TO '.*[a-z].*' AND w SIMILAR TO '.*[A-Z0-9].*' GROUP BY w HAVING count(*) > 1),
+ids AS (SELECT file, own AS id FROM cut WHERE own IS NOT NULL UNION SELECT s.file, s.w FROM shaped s JOIN known ON s.w = known.id)
+SELECT DISTINCT a.file AS file_a, b.file AS file_b FROM ids a JOIN ids b USING (id) WHERE a.file < b.file""",
 }
