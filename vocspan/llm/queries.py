@@ -114,7 +114,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors on labelled documents whose source was left out of the training."""
     model = reading.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
-    return spark.createDataFrame(model.validation)
+    return spark.createDataFrame(list(model.validation.itertuples(index=False, name=None)), "source string, n long, mean_abs_error double, same_level double, same_side_of_4 double")
 
 
 QUERIES = {

@@ -3,14 +3,17 @@
 Gradient-boosted regression trees over distributions of length, vocabulary, syntax and cohesion. Part of the vocabulary
 features is learned: the grade of a word is the shrunken mean level of the labelled documents that use it, and a document
 has the distribution of its words over those grades. Grades used in training come from the other folds, so no document sees its
-own label. Predictions for labelled documents are made with their source left out; an isotonic curve over them calibrates the
-trees' output, and gives the validation by source. The model is fitted on the driver from features of at most ``max_labels``
-labelled documents, chosen by hash; all documents are scored in one pass without a shuffle.
+own label. Predictions for labelled documents are made with their source left out, and with it all copies of their texts in other
+sources. An isotonic curve over these predictions calibrates the trees' output; for the validation by source the curve
+is fitted on the predictions of the other sources, so a source has no part in its own figures. Trees and word grades are fitted
+from features of at most ``max_labels`` labelled documents, chosen by hash, one task for every source left out and one for the
+model itself; all documents are scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -21,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocspan.llm.boosting import Boosted, isotonic
@@ -29,17 +32,28 @@ from vocspan.llm.lookalike import canonical
 
 MIN_WORDS, HARD_LEVEL = 40, 4
 MAX_LABELS = 10_000
-#: Sources left out in turn; more of them are joined by hash.
-MAX_GROUPS = 12
 #: Least share of English function words; dense academic prose has few.
 MIN_ENGLISH = 0.015
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?。！？]+[\s\"'”’)]*|\n+")
 _DIGIT, _HAN = re.compile(r"\d"), re.compile(r"[\u4e00-\u9fff]")
 _VOWELS = re.compile(r"[aeiouy]+")
-# Short function words of the two Latin-script languages of the corpus.
+# Short function words, language by language. A word of several languages stands in each of them.
 ENGLISH = frozenset("the of and a an to in is are was were it that this for with on as at by be from or not have has had but they we you he she his her their our my its which who what when would can do did if so than then there about all no only just me us them him i".split())
-MALAY = frozenset("yang dan di ke dari itu ini dengan untuk pada adalah tidak saya kami kita mereka dia anda akan telah sudah sangat juga oleh atau kerana sebab apa bila boleh lagi sini situ sana bukan ialah dalam kata berkata bahawa harganya tetapi lebih hari orang banyak semua ada jadi mahu hendak kepada".split())
+OTHERS = tuple(frozenset(words.split()) for words in (
+    "yang dan di ke dari itu ini dengan untuk pada adalah tidak saya kami kita mereka dia anda akan telah sudah sangat juga oleh atau kerana sebab apa bila boleh lagi sini situ sana bukan ialah dalam kata berkata bahawa harganya tetapi lebih hari orang banyak semua ada jadi mahu hendak kepada",  # Malay
+    "de la que el en y a los se del las un por con no una su para es al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre me hay nos mi fue yo",  # Spanish
+    "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já eu também me",  # Portuguese
+    "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son mais comme on je nous vous elle cette très",  # French
+    "di e il la che in a un è per una non sono del con le si da i della lo al nel come più ma gli dei alla ha io mi questo anche ho se molto",  # Italian
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei ich wir war sehr aber",  # German
+    "de van een het en in is dat op te zijn met voor niet aan er om ook als dan maar bij of uit ik je we hij was naar dit wordt heeft zeer",  # Dutch
+    "och i att det som en på är av för med till den har de inte om ett han men var jag sig så vi och er at det på en til af ikke jeg",  # Swedish, Danish, Norwegian
+    "i w na z do się nie to że jest o jak ale po co tak za od przez dla był są czy tylko ja ten bardzo",  # Polish
+    "ve bir bu da de için ile çok ne gibi daha ben o var olarak ama kadar sonra en mi değil",  # Turkish
+    "ang ng sa na mga at ay ko ka ako siya ito para hindi kung may niya kami nila lang po",  # Tagalog
+    "și de la în a cu nu pe o un este care să că din mai se pentru ce sunt au dar ca am foarte",  # Romanian
+))
 # Words that subordinate and words that connect sentences.
 SUBORDINATE = frozenset("although because since while whereas unless until whether if that which who whom whose when where though provided insofar lest notwithstanding before after".split())
 CONNECTIVE = frozenset("however therefore consequently moreover furthermore nevertheless hence thus conversely accordingly meanwhile then so and but or".split())
@@ -84,7 +98,7 @@ def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
         latin += c if plain else 0
     hit = lambda group: sum(counts[w] for w in group & counts.keys()) / per
     span_mean = sum(spans) / len(spans)
-    en, ms = hit(ENGLISH), hit(MALAY)
+    en = hit(ENGLISH)
     features = [
         math.log1p(n), *_quantiles(sizes, (0.25, 0.5, 0.75, 0.9)), mean, math.sqrt(max(0.0, sum(x * x for x in sizes) / k - mean * mean)), longer(7), longer(10), longer(13),
         syllables / per, many / per, len(counts) / math.sqrt(2 * per), suffixes / per,
@@ -92,7 +106,7 @@ def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
         text.count(",") / per, (text.count(";") + text.count(":")) / per, (text.count("!") + text.count("?")) / per,
         hit(SUBORDINATE), hit(CONNECTIVE), hit(PRONOUN), en, len(_DIGIT.findall(text)) / per, shared / max(1, len(heads) - 1),
     ]
-    english = bool(n) and latin / per > 0.5 and en > ms and en >= MIN_ENGLISH and (text.isascii() or len(_HAN.findall(text)) < 0.2 * sum(sizes))
+    english = bool(n) and latin / per > 0.5 and en >= MIN_ENGLISH and en > max(map(hit, OTHERS)) and (text.isascii() or len(_HAN.findall(text)) < 0.2 * sum(sizes))
     return features, np.array([f[0] for f in facts], np.int64), np.array(each, np.int64), english
 
 
@@ -152,32 +166,73 @@ def _fit_part(features, hashes, counts, docs, y, fold, use):  # noqa: ANN001, AN
     return trees, words, grades
 
 
-def fit(features: np.ndarray, words: list[np.ndarray], word_counts: list[np.ndarray], y: np.ndarray, source: np.ndarray, fold: np.ndarray) -> Model:
-    """fold: a number from 0 to 4 by text, so that copies of a text share it. With fewer than two sources five parts stand in for them."""
-    docs = np.repeat(np.arange(len(y)), [len(w) for w in words])
-    hashes, counts = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (words, word_counts))
-    groups = source if len(np.unique(source)) > 1 else fold.astype(str)
-    if len(np.unique(groups)) > MAX_GROUPS:
-        groups = np.array([str(xxhash.xxh64_intdigest(g) % MAX_GROUPS) for g in groups])
-    held = np.zeros(len(y))
-    for g in np.unique(groups):
-        # Copies of the held-out texts in other sources stay out of the training part as well.
-        out = groups == g
-        use = ~out
+@dataclass
+class Sample:
+    """Labelled documents: features, word hashes with counts and the number of their document, levels, sources, and a hash of each text."""
+
+    features: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    docs: np.ndarray
+    y: np.ndarray
+    source: np.ndarray
+    text: np.ndarray
+
+    def groups(self) -> np.ndarray:
+        """What is left out in turn: the sources; with fewer than two of them five parts by text stand in for them."""
+        return self.source if len(np.unique(self.source)) > 1 else (self.text % 5).astype(str)
+
+    def fit_without(self, group: str | None) -> tuple[Boosted, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Trees, words and grades fitted without a group and without the texts in it, and its documents with their predictions; None: fitted on all.
+
+        Where fewer than 20 documents are left to learn from there is no prediction."""
+        out = np.zeros(len(self.y), bool) if group is None else self.groups() == group
+        use = ~np.isin(self.text, self.text[out])
+        mine = np.flatnonzero(out)
         if use.sum() < 20:
-            held[out] = y.mean()
-            continue
-        trees, w, gr = _fit_part(features, hashes, counts, docs, y, fold, use)
-        x = np.hstack([features, _grade_features(hashes, counts, docs, len(y), w, gr)])
-        held[out] = trees.predict(x[out])
-    knots = isotonic(held, y)
-    calibrated = np.interp(held, *knots)
-    report = pd.DataFrame({"source": groups, "error": np.abs(calibrated - y), "level": np.rint(np.clip(calibrated, 1, 5)), "y": y})
+            return Boosted(), np.zeros(0, np.int64), np.zeros(0), mine, np.full(len(mine), np.nan)
+        trees, words, grades = _fit_part(self.features, self.hashes, self.counts, self.docs, self.y, self.text % 5, use)
+        x = np.hstack([self.features, _grade_features(self.hashes, self.counts, self.docs, len(self.y), words, grades)])
+        return trees, words, grades, mine, trees.predict(x[mine])
+
+
+def curve(held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calibration of held-out predictions; none where there are fewer than 20 of them."""
+    known = np.isfinite(held)
+    return isotonic(held[known], y[known]) if known.sum() >= 20 else (np.array([1.0, 5.0]), np.array([1.0, 5.0]))
+
+
+def validate(sample: Sample, held: np.ndarray) -> pd.DataFrame:
+    """Errors by source of held-out predictions, calibrated by a curve over those of the other sources."""
+    groups, calibrated = sample.groups(), np.zeros(len(held))
+    for g in np.unique(groups):
+        mine = groups == g
+        calibrated[mine] = np.interp(held[mine], *curve(held[~mine], sample.y[~mine]))
+    y = sample.y
+    report = pd.DataFrame({"source": groups, "error": np.abs(calibrated - y), "level": np.floor(np.clip(calibrated, 1, 5) + 0.5), "y": y})
+    report = report[np.isfinite(held)].copy()
     report["right"] = report["level"] == np.rint(report["y"])
     report["hard_right"] = (report["level"] >= HARD_LEVEL) == (report["y"] >= HARD_LEVEL - 0.5)
-    validation = report.groupby("source").agg(n=("y", "size"), mean_abs_error=("error", "mean"), same_level=("right", "mean"), same_side_of_4=("hard_right", "mean")).reset_index()
-    trees, w, gr = _fit_part(features, hashes, counts, docs, y, fold, np.ones(len(y), bool))
-    return Model(trees, w, gr, knots, validation)
+    return report.groupby("source").agg(n=("y", "size"), mean_abs_error=("error", "mean"), same_level=("right", "mean"), same_side_of_4=("hard_right", "mean")).reset_index()
+
+
+def fit(spark: SparkSession, sample: Sample) -> Model:
+    """The model of a sample. The sample is sent to all tasks; it has the documented bound of labels."""
+    jobs = [None, *np.unique(sample.groups()).tolist()]
+    shared = spark.sparkContext.broadcast(sample)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for job in pdf["id"]:
+                trees, words, grades, mine, guess = shared.value.fit_without(jobs[job])
+                yield pd.DataFrame({"job": [job], "docs": [mine], "guess": [guess], "model": [pickle.dumps((trees, words, grades)) if jobs[job] is None else None]})
+
+    done = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(work, "job long, docs array<long>, guess array<double>, model binary").collect()
+    held = np.zeros(len(sample.y))
+    for r in done:
+        held[np.array(r["docs"], np.int64)] = r["guess"]
+    trees, words, grades = pickle.loads(next(r["model"] for r in done if r["model"] is not None))
+    return Model(trees, words, grades, curve(held, sample.y), validate(sample, held))
 
 
 _DESCRIBED = "features array<double>, hashes array<long>, counts array<long>, english boolean"
@@ -192,12 +247,14 @@ def train(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS)
     def describe_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [describe(t) for t in pdf["text"]]
-            yield pd.DataFrame({"features": [r[0] for r in rows], "hashes": [r[1] for r in rows], "counts": [r[2] for r in rows], "english": [r[3] for r in rows], "y": pdf["y"].to_numpy(), "source": pdf["source"].fillna("").to_numpy(object), "fold": [xxhash.xxh64_intdigest(t) % 5 for t in pdf["text"]], "doc_id": pdf["doc_id"].to_numpy()})
+            yield pd.DataFrame({"features": [r[0] for r in rows], "hashes": [r[1] for r in rows], "counts": [r[2] for r in rows], "english": [r[3] for r in rows], "y": pdf["y"].to_numpy(), "source": pdf["source"].fillna("").to_numpy(object), "hash": [xxhash.xxh64_intdigest(t) >> 1 for t in pdf["text"]], "doc_id": pdf["doc_id"].to_numpy()})
 
-    got = joined.mapInPandas(describe_all, f"{_DESCRIBED}, y double, source string, fold int, doc_id long").filter("english").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    got = joined.mapInPandas(describe_all, f"{_DESCRIBED}, y double, source string, hash long, doc_id long").filter("english").toPandas().sort_values(["doc_id", "y"], kind="stable")
     if len(got) < 20:
         raise ValueError("a reading model needs at least 20 labelled English documents")
-    return fit(np.array(got["features"].tolist()), [np.asarray(h) for h in got["hashes"]], [np.asarray(c) for c in got["counts"]], got["y"].to_numpy(float), got["source"].to_numpy(str), got["fold"].to_numpy())
+    words, counts = ([np.asarray(v) for v in got[c]] for c in ("hashes", "counts"))
+    docs = np.repeat(np.arange(len(got)), [len(w) for w in words])
+    return fit(documents.sparkSession, Sample(np.array(got["features"].tolist()), np.concatenate(words), np.concatenate(counts), docs, got["y"].to_numpy(float), got["source"].to_numpy(str), got["hash"].to_numpy()))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
