@@ -177,7 +177,8 @@ def audio_key(address: Column) -> Column:
     path = F.regexp_extract(text, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
     path = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path)).otherwise(path)
     path = F.regexp_replace(F.regexp_replace(path, r"(/\.(?=/|$))+", ""), r"/{2,}", "/")
-    plain = F.when(text.rlike(r"^https://[a-z0-9.-]+(/[A-Za-z0-9_-]+)+\.[A-Za-z0-9]+$"), F.substring(text, 9, 1 << 20))
+    # Most addresses are written plainly, and for those nothing else is looked at.
+    plain = F.when(address.rlike(r"^https://[a-z0-9.-]*[a-z0-9-](?:/[A-Za-z0-9_-]+)+\.[A-Za-z0-9]+$"), F.substring(address, 9, 1 << 20))
     return F.coalesce(plain, F.when((host != "") & ~path.isin("", "/"), F.concat(host, port, path)))
 
 
