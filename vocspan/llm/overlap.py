@@ -12,8 +12,7 @@ Candidates must agree in place and length up to the allowed edits; their seeds a
 alignment is extended over the gaps between them, and over the whole texts where that does not settle it. Coverage counts the
 equal words of the best alignment of a pair, not its seeds, so it depends on the two texts alone.
 
-Spoken text is written once: one row per utterance that can be in a pair, of which one in every class of exact copies stands
-for the class. Pairs of rows are formed for ``found`` only; the report joins records with facts of their classes.
+Pairs of rows are formed for ``found`` only; the report joins records with facts of their classes.
 """
 
 from __future__ import annotations
@@ -243,21 +242,18 @@ def _common_hashes(classes: DataFrame, share: float) -> tuple[np.ndarray, np.nda
 
 
 def classes_of(texts: DataFrame) -> DataFrame:
-    """cls, head, in_train, in_eval of every class of exact copies; head is the smallest source_row, whose text stands for all."""
-    return texts.groupBy("cls").agg(F.min("source_row").alias("head"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
+    """cls, said, n, in_train, in_eval of every class of exact copies. Copies meet in partial aggregates."""
+    return texts.groupBy("cls").agg(F.any_value("said").alias("said"), F.max("n").alias("n"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
 
 
-def near_classes(texts: DataFrame, classes: DataFrame, share: float = COMMON_SHARE, with_coverage: bool = False) -> DataFrame:
+def near_classes(heads: DataFrame, share: float = COMMON_SHARE, with_coverage: bool = False) -> DataFrame:
     """train_cls, eval_cls, edits, n_words, covered of different texts with few enough edits, one in training and one in evaluation.
 
     ``covered`` is the number of words of the evaluation text that the alignment finds equal in the training text, NULL unless it is
-    asked for. texts: source_row, cls, said, n; classes: see classes_of.
+    asked for. heads: see classes_of.
     """
-    # A repeated source_row may head its class twice.
-    heads = texts.select(F.col("source_row").alias("head"), "cls", "said", "n").join(classes, ["cls", "head"]).select("cls", "said", "n", "in_train", "in_eval").dropDuplicates(["cls"])
-    heads = cut(heads)
     common, rank = _common_hashes(heads, share)
-    spark = texts.sparkSession
+    spark = heads.sparkSession
     shared = spark.sparkContext.broadcast((common, rank))
 
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,8 +301,7 @@ def overlaps(rows: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     """
     base = rows.select("source_row", "split", "audio", "text")
     texts = cut(eligible(base))
-    classes = classes_of(texts)
-    near = near_classes(texts, classes, share)
+    near = near_classes(cut(classes_of(texts)), share)
     train = texts.filter("train").select(F.col("source_row").alias("train_row"), F.col("cls").alias("train_cls"))
     held = texts.filter("not train").select(F.col("source_row").alias("eval_row"), F.col("cls").alias("eval_cls"))
     exact = train.join(held, F.col("train_cls") == F.col("eval_cls")).select("train_row", "eval_row", F.lit("exact").alias("kind"))
@@ -329,8 +324,8 @@ def records(rows: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     """
     base = rows.select("source_row", "split", "audio", "text")
     texts = cut(eligible(base))
-    classes = classes_of(texts)
-    near = near_classes(texts, classes, share, with_coverage=True)
+    classes = cut(classes_of(texts))
+    near = near_classes(classes, share, with_coverage=True)
     best = near.groupBy(F.col("eval_cls").alias("cls")).agg(F.max(F.col("covered") / F.col("n_words")).alias("near_covered"))
     facts = classes.filter("in_eval").join(best, "cls", "left").select("cls", F.col("in_train").alias("exact"), F.col("near_covered").isNotNull().alias("near"), F.when(F.col("in_train"), F.lit(1.0)).otherwise(F.col("near_covered")).alias("covered"))
     said = texts.filter("not train").select("source_row", "cls").join(facts.filter("exact or near"), "cls").select("source_row", "exact", "near", F.lit(False).alias("audio"), "covered")
