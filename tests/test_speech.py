@@ -1,7 +1,6 @@
 import hashlib
 import json
 import random
-import re
 import unicodedata
 
 import pytest
@@ -35,8 +34,14 @@ def test_canonical_text_and_edits(spark):
     rng = random.Random(1)
     pool = ["Straße", "don’t", "DON'T", "ﬁne", "１２", "İstanbul", "naïve", "_x_", "it's'", "--", "a", "b", "c d", "'tis", "你好"]
     pairs = [(" ".join(rng.choices(pool, k=rng.randrange(0, 9))), " ".join(rng.choices(pool, k=rng.randrange(0, 9)))) for _ in range(200)] + [(None, "a"), ("", "")]
-    form = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-    norm = lambda t: " ".join(form.findall(unicodedata.normalize("NFKC", t or "").casefold().replace("’", "'")))
+
+    def norm(t):
+        out, t = "", unicodedata.normalize("NFKC", t or "").casefold().replace("’", "'")
+        for i, c in enumerate(t):
+            inner = c == "'" and t[i - 1 : i].isalnum() and t[i + 1 : i + 2].isalnum()
+            out += c if c.isalnum() or inner else " "
+        return " ".join(out.split())
+
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     n = df.select("i", T.canonical_text(F.col("a")).alias("a"), T.canonical_text(F.col("b")).alias("b"))
     out = n.select("i", "a", T.word_edits(F.col("a"), F.col("b")).alias("w"), T.word_count(F.col("a")).alias("n"), T.character_edits(F.col("a"), F.col("b")).alias("c")).collect()
@@ -73,17 +78,53 @@ def test_half_even_recovery_and_outcomes(spark):
     assert [r["e"] for r in df.collect()] == [0, 2, 2]
 
 
-def test_bootstraps_agree(spark):
+def test_bootstrap_is_that_of_the_generator_at_every_size(spark):
+    import numpy as np
+
     rng = random.Random(2)
-    rows = [(f"f{i}", i, rng.randrange(5, 40), rng.randrange(5, 30), 100) for i in range(200)]
-    files = spark.createDataFrame(rows, "file string, first_row long, base_word_edits long, ft_word_edits long, reference_words long")
-    a, b = scoring.cluster_bootstrap(files, 500), scoring.poisson_bootstrap(files, 500)
-    assert a["valid_draws"] == 500 and abs(a["low"] - b["low"]) < 0.006 and abs(a["high"] - b["high"]) < 0.006
-    assert scoring.cluster_bootstrap(files.limit(1))["low"] is None
+    rows = [(f"f{i}", (i * 7) % 211, rng.randrange(5, 40), rng.randrange(5, 30), rng.choice([0, 100])) for i in range(211)]
+    files = spark.createDataFrame(rows, "file string, first_row long, base_word_edits long, ft_word_edits long, reference_words long").repartition(3)
+    m = np.array([r[2:] for r in sorted(rows, key=lambda r: r[1])])
+    sums = m[np.random.default_rng(2026).integers(0, 211, size=(500, 211))].sum(axis=1)
+    want = np.quantile((sums[:, 1] - sums[:, 0]) / sums[:, 2], [0.025, 0.975]).tolist()
+    for per_range, per_task in ((scoring.RANGE, scoring.DRAWS), (50, 160), (211, 499)):
+        got = scoring.cluster_bootstrap(files, 500, per_range=per_range, per_task=per_task)
+        assert got == {"clusters": 211, "valid_draws": 500, "low": want[0], "high": want[1]}
+    assert scoring.cluster_bootstrap(files.limit(1))["low"] is None and scoring.cluster_bootstrap(files.limit(0))["clusters"] == 0
+    nothing = scoring.cluster_bootstrap(files.withColumn("reference_words", F.lit(0).cast("long")), 100)
+    assert nothing["valid_draws"] == 0 and nothing["low"] is None
     with pytest.raises(ValueError):
         scoring.cluster_bootstrap(files, 10)
 
 
+def test_rows_left_out_are_counted(spark):
+    df = spark.createDataFrame([("", None), ("x", ""), (None, ""), ("", "y")], "asr_error string, asr_error_ft string")
+    assert tuple(scoring.left_out(df).first()) == (2, 2)
+    gates.both_succeeded(df.filter("coalesce(asr_error, '') = '' and coalesce(asr_error_ft, '') = ''"), "asr_error", "asr_error_ft")
+    with pytest.raises(ValueError):
+        gates.both_succeeded(df, "asr_error", "asr_error_ft")
+    gates.one_channel(df.withColumn("channel", F.lit("a")), "a")
+    with pytest.raises(ValueError):
+        gates.one_channel(df.withColumn("channel", F.lit(None).cast("string")), "a")
+
+
+def test_audit_in_one_pass_says_what_the_single_counts_say(spark):
+    good = {"start_time": "0", "end_time": "1"}
+    rows = [good | {"channel": "held", "audio": "https://h"}, good | {"channel": "a", "file": "b", "text": "um"}, good | {"channel": "a", "file": "b", "end_time": "40", "text": "lah"}, {"channel": None, "file": "c", "start_time": "x"}]
+    split = quality.with_split(quality.with_features(segments(spark, rows)), "held")
+    got = {(r["section"], r["key"]): (r["n_rows"], r["videos"]) for r in quality.audit(split).collect()}
+    for r in quality.flag_counts(split).collect():
+        assert got.pop(("flag", r["flag"])) == (r["n_rows"], None)
+    for name, n in quality.mismatch_counts(split).first().asDict().items():
+        assert got.pop(("mismatch", name)) == (n, None)
+    for r in quality.audit_by(split, "channel").collect():
+        assert got.pop(("channel", r["channel"])) == (r["n_rows"], r["videos"])
+    assert {k[0] for k in got} == {"split", "duration_bucket", "exclusion"} and sum(n for (s, _), (n, _) in got.items() if s == "duration_bucket") == 4
+    assert "flag" not in {r["section"] for r in quality.audit(split.limit(0)).collect()}
+    flags = quality.flag_counts(split)._jdf.queryExecution().optimizedPlan().toString()
+    assert flags.count("THEN repeated_tokens") == 1  # no filter on the flags, for which they would be computed twice
+
+
 def test_flags(spark):
     rows = [
         {"start_time": "0", "end_time": "1", "text": "um uh hmm"}, {"start_time": "x", "end_time": "1", "text": "..."}, {"start_time": "0", "end_time": "0.4", "text": "no no no no"}, {"start_time": "0", "end_time": "30", "text": "aaaaaaa"},

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from vocspan.operators.shards import shard_rows
 
@@ -33,6 +34,16 @@ def same_keys(a: DataFrame, b: DataFrame, key: str, message: str) -> None:
     gate(a.join(b, key, "left_anti").limit(1).isEmpty() and b.join(a, key, "left_anti").limit(1).isEmpty(), message)
 
 
+def both_succeeded(rows: DataFrame, first: str, second: str) -> None:
+    """Both models must have transcribed every row."""
+    none_match(rows, (F.coalesce(F.col(first), F.lit("")) != "") | (F.coalesce(F.col(second), F.lit("")) != ""), "a model failed on a row")
+
+
+def one_channel(rows: DataFrame, channel: str) -> None:
+    """Every row must be of the channel."""
+    none_match(rows, ~F.col("channel").eqNullSafe(channel), f"a row is not of channel {channel}")
+
+
 def shards_complete(reports: list[dict], total: int) -> None:
     """Every shard once, no failures, equal source, path and model, and the closed form of its number of rows."""
     count = len(reports)

@@ -113,5 +113,5 @@ def budget_report(selected: DataFrame, candidates: DataFrame, hours: float) -> D
 
 
 def uniform_sample(rows: DataFrame, n: int, key: str, seed: int = 2026) -> DataFrame:
-    """n rows, each equally likely: the smallest hashes, kept by every task before they meet."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows, each equally likely: the smallest SHA-256 of 'seed/key', kept by every task before they meet."""
+    return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")), 256), key).limit(n)

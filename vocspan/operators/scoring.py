@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspan.functions import text as T
 from vocspan.functions import values as V
+from vocspan.operators.shards import with_position
 from vocspan.session import cut
 
 MEASURES = ("base_word_edits", "ft_word_edits", "reference_words", "base_char_edits", "ft_char_edits", "reference_characters")
@@ -67,12 +71,18 @@ def pair_rows(rows: DataFrame, base: str = "generated_text", tuned: str = "gener
     }).drop("__r", "__b", "__f")
 
 
+def left_out(rows: DataFrame, errors: tuple[str, str] = ("asr_error", "asr_error_ft")) -> DataFrame:
+    """One row: n_rows that pair_rows keeps and left_out ones, for which a model failed. gates.both_succeeded stops where there are any."""
+    both = succeeded(errors[0]) & succeeded(errors[1])
+    return rows.agg(F.count_if(both).alias("n_rows"), F.count_if(~both).alias("left_out"))
+
+
 def by_file(pairs: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Sums of the measures per recording, with the row that comes first."""
     return pairs.groupBy("file").agg(F.min("source_row").alias("first_row"), *[F.sum(c).alias(c) for c in measures if c in pairs.columns])
 
 
-def paired_totals(files: DataFrame, pairs_rows: Column | None = None) -> DataFrame:
+def paired_totals(files: DataFrame) -> DataFrame:
     """One row: videos, pooled rates of both models, their difference and the relative reduction (NULL without base edits)."""
     t = files.agg(F.count(F.lit(1)).alias("videos"), *[F.sum(c).alias(c) for c in MEASURES])
     w, c = F.col("reference_words"), F.col("reference_characters")
@@ -124,48 +134,56 @@ def examples(pairs: DataFrame, k: int = 8, least_words: int = 5) -> DataFrame:
     return better.unionByName(worse).select("kind", "place", "source_row", "base_word_edits", "ft_word_edits", "reference_words")
 
 
-#: The bootstrap below holds one row of six numbers per recording; beyond this it draws by hash inside Spark.
-DRIVER_CLUSTERS = 100_000
+#: Recordings whose sums one task holds; draws that one task makes.
+RANGE, DRAWS = 250_000, 125
 
 
-def cluster_bootstrap(files: DataFrame, draws: int = 2000, seed: int = 2026) -> dict:
+def cluster_bootstrap(files: DataFrame, draws: int = 2000, seed: int = 2026, per_range: int = RANGE, per_task: int = DRAWS) -> dict:
     """Interval of the difference of the rates over resampled recordings, in the order of their first row.
 
-    The generator and its draws are those of NumPy's default, so a seed gives the same interval elsewhere. Draws without
-    reference words are left out; with fewer than two recordings there is no interval.
+    The numbers drawn are those of NumPy's default generator, so a seed gives the same interval elsewhere and at every size. The
+    driver runs through the generator alone, without the recordings, to learn its state every ``per_task`` draws. A task repeats the
+    numbers of its draws and adds up the recordings of one range of positions; it holds ``per_range`` recordings and as many
+    numbers. Draws without reference words are left out; with fewer than two recordings there is no interval.
     """
     if draws < 100:
-        raise ValueError("use at least 100 draws")
-    rows = files.orderBy("first_row").select("base_word_edits", "ft_word_edits", "reference_words").limit(DRIVER_CLUSTERS + 1).collect()
-    if len(rows) > DRIVER_CLUSTERS:
-        return poisson_bootstrap(files, draws, seed)
-    totals = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
-    if len(totals) < 2:
-        return {"clusters": len(totals), "valid_draws": 0, "low": None, "high": None}
-    rng, delta = np.random.default_rng(seed), []
-    picks = rng.integers(0, len(totals), size=(draws, len(totals)))
-    for part in np.array_split(picks, max(1, picks.size // 5_000_000)):
-        s = totals[part].sum(axis=1)
-        s = s[s[:, 2] > 0]
-        delta.append((s[:, 1] - s[:, 0]) / s[:, 2])
-    d = np.concatenate(delta)
+        raise ValueError("the number of draws must be 100 or more")
+    measures = ["base_word_edits", "ft_word_edits", "reference_words"]
+    placed = with_position(files.select("first_row", *measures), "first_row")
+    packed = placed.groupBy(F.floor(F.col("position") / per_range).alias("range")).agg(F.array_sort(F.collect_list(F.struct("position", *measures))).alias("x"), F.count(F.lit(1)).alias("n"))
+    packed = cut(packed.select("range", "n", *[F.col("x")[c].cast("array<long>").alias(c) for c in measures]))
+    n = packed.agg(F.sum("n")).first()[0] or 0
+    if n < 2:
+        return {"clusters": n, "valid_draws": 0, "low": None, "high": None}
+    rng, states = np.random.default_rng(seed), []
+    for first in range(0, draws, per_task):
+        states.append((first, min(per_task, draws - first), rng.bit_generator.state))
+        for _ in range(per_task if first + per_task < draws else 0):
+            for _ in _numbers(rng, n, per_range):
+                pass
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                first, many, state = states[row["block"]]
+                own = np.random.default_rng(seed)
+                own.bit_generator.state = state
+                sums, low = np.stack([np.asarray(row[c], np.int64) for c in measures], axis=1), row["range"] * per_range
+                total = np.zeros((many, 3), np.int64)
+                for b in range(many):
+                    for picks in _numbers(own, n, per_range):
+                        picks = picks - low
+                        total[b] += sums[picks[(picks >= 0) & (picks < len(sums))]].sum(axis=0)
+                yield pd.DataFrame({"draw": np.arange(first, first + many), **{c: total[:, i] for i, c in enumerate(measures)}})
+
+    tasks = packed.crossJoin(F.broadcast(files.sparkSession.range(len(states)).select(F.col("id").alias("block")))).repartition(len(states), "block", "range")
+    drawn = tasks.mapInPandas(work, "draw long, base_word_edits long, ft_word_edits long, reference_words long").groupBy("draw").agg(*[F.sum(c).alias(c) for c in measures]).filter("reference_words > 0")
+    d = np.array([r["d"] for r in drawn.select("draw", ((F.col("ft_word_edits") - F.col("base_word_edits")) / F.col("reference_words")).alias("d")).collect()])
     low, high = np.quantile(d, [0.025, 0.975]).tolist() if len(d) else (None, None)
-    return {"clusters": len(totals), "valid_draws": len(d), "low": low, "high": high}
+    return {"clusters": n, "valid_draws": len(d), "low": low, "high": high}
 
 
-def poisson_bootstrap(files: DataFrame, draws: int = 2000, seed: int = 2026) -> dict:
-    """The same interval for any number of recordings: every recording counts a Poisson(1) number of times in every draw.
-
-    One pass with partial sums per draw; the result is statistically, not bit for bit, that of the resampling.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "first_row"), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u")
-    each = files.select("first_row", "base_word_edits", "ft_word_edits", "reference_words", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b")).select("*", u)
-    times, tail, p = F.lit(0), 0.0, np.exp(-1.0)
-    for k in range(8):
-        tail += p
-        times = times + (F.col("u") >= tail).cast("int")
-        p /= k + 1
-    sums = each.withColumn("k", times).groupBy("b").agg(*[F.sum(F.col(c) * F.col("k")).alias(c) for c in ("base_word_edits", "ft_word_edits", "reference_words")])
-    delta = sums.filter("reference_words > 0").select(((F.col("ft_word_edits") - F.col("base_word_edits")) / F.col("reference_words")).alias("d"))
-    r = delta.agg(F.count("d").alias("n"), F.percentile("d", [0.025, 0.975]).alias("q")).first()
-    return {"clusters": files.count(), "valid_draws": r["n"], "low": r["q"][0] if r["q"] else None, "high": r["q"][1] if r["q"] else None}
+def _numbers(rng: np.random.Generator, n: int, size: int) -> Iterator[np.ndarray]:
+    """The n numbers of one draw in parts; the generator gives the same ones in parts and at once."""
+    for at in range(0, n, size):
+        yield rng.integers(0, n, size=min(size, n - at))

@@ -33,8 +33,13 @@ def split_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).select("source_row", "split", "exclusion_reason")
 
 
+def metadata_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of the audit in one pass."""
+    return quality.audit(_split(spark, sf_dir)).withColumn("hours", F.round("hours", 9))
+
+
 def audit_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.audit_by(_split(spark, sf_dir), "channel").withColumn("hours", F.round("hours", 9))
+    return quality.audit_by(quality.with_features(_segments(spark, sf_dir)), "channel").withColumn("hours", F.round("hours", 9))
 
 
 def audit_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +55,13 @@ def audit_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.flag_counts(_split(spark, sf_dir))
+    return quality.flag_counts(quality.with_holdout(quality.with_features(_segments(spark, sf_dir)), HELD_OUT))
 
 
 def mismatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.mismatch_counts(_split(spark, sf_dir))
+    """Counts over the rows outside the test split, which are those that are not held out."""
+    marked = quality.with_holdout(quality.with_features(_segments(spark, sf_dir)), HELD_OUT)
+    return quality.mismatch_counts(marked.withColumn("split", F.when(F.col("held_out"), F.lit("test")).otherwise(F.lit(""))))
 
 
 def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +221,9 @@ def paired_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.paired_totals(scoring.by_file(scoring.pair_rows(table(spark, sf_dir, "tdk_subset"))))
+    """Pooled rates of both models and their difference, with the number of rows for which a model failed and which are left out."""
+    rows = table(spark, sf_dir, "tdk_subset")
+    return scoring.paired_totals(scoring.by_file(scoring.pair_rows(rows))).crossJoin(scoring.left_out(rows))  # one row each
 
 
 def paired_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +333,7 @@ def event_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_features, split_reasons, audit_channels, audit_splits, audit_buckets, audit_exclusions, audit_flags, mismatch_counts, split_leaks, overlap_by_video, overlap_totals,
+        quality_features, split_reasons, metadata_audit, audit_channels, audit_splits, audit_buckets, audit_exclusions, audit_flags, mismatch_counts, split_leaks, overlap_by_video, overlap_totals,
         holdout_positions, shard_rows, shard_all, shard_merge, row_keys, journal_state, journal_pending, journal_export, bottom_k, clip_pools, longest_clips, representatives, budget_sample, uniform_sample, group_segments,
         normal_forms, simple_forms, score_rows, score_corpus, simple_wer, simple_row_edits, simple_by_file, simple_slices, simple_outcomes, simple_examples,
         paired_by_file, paired_comparison, paired_slices, paired_outcomes, paired_examples, wer_bootstrap,

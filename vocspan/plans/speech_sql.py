@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from vocspan.functions.text import FILLERS, FORM, SINGLISH
+
 HELD_OUT, THRESHOLD = "Teh_Dua_Kosong", 0.49
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)*')"
 _NUMBER = "CASE WHEN isfinite(TRY_CAST(trim({c}, ' \t\n\r') AS DOUBLE)) THEN TRY_CAST(trim({c}, ' \t\n\r') AS DOUBLE) END"
 _VIDEO = "CASE WHEN len(string_split(file, '--')) >= 3 THEN string_split(file, '--')[2] ELSE regexp_replace(file, '\\.TextGrid$', '') END"
-_SINGLISH = "['lah', 'leh', 'lor', 'meh', 'sia', 'wah', 'walao', 'shiok', 'paiseh']"
+_SINGLISH = f"[{', '.join(map(repr, SINGLISH))}]"
 _BUCKET = "CASE WHEN duration < 0.3 THEN '<0.3' WHEN duration < 0.5 THEN '0.3-0.5' WHEN duration < 1 THEN '0.5-1' WHEN duration < 5 THEN '1-5' WHEN duration < 10 THEN '5-10' WHEN duration < 15 THEN '10-15' WHEN duration < 20 THEN '15-20' ELSE '>=20' END"
 _RUN6 = "len(list_filter(range(1, length(coalesce(text, '')) - 4), lambda i: text[i:i+5] = repeat(text[i], 6) AND text[i] <> chr(10))) > 0"
 
@@ -21,7 +25,7 @@ feat AS (SELECT *, {_BUCKET} AS duration_bucket, list_has_any(words, {_SINGLISH}
     CASE WHEN valid AND duration < 0.5 THEN 'short' END, CASE WHEN duration > 20 THEN 'long' END,
     CASE WHEN duration >= 2 AND wps < 0.5 THEN 'sparse_text' END, CASE WHEN duration >= 5 AND word_count <= 1 THEN 'extreme_sparse' END,
     CASE WHEN wps > 7.5 THEN 'dense_text' END,
-    CASE WHEN word_count > 0 AND len(list_filter(words, lambda w: w NOT IN ('um', 'uh', 'hmm', 'erm', 'ah'))) = 0 THEN 'filler_only' END,
+    CASE WHEN word_count > 0 AND len(list_filter(words, lambda w: w NOT IN {FILLERS})) = 0 THEN 'filler_only' END,
     CASE WHEN word_count >= 4 AND len(list_distinct(words)) = 1 THEN 'repeated_tokens' END,
     CASE WHEN {_RUN6} THEN 'repeated_characters' END], lambda f: f IS NOT NULL) AS flags FROM rated)"""
 
@@ -170,3 +174,82 @@ ORACLE |= {
     "simple_wer": _q(f"forms AS (SELECT {_SIMPLE.format(c='text')} AS r, {_SIMPLE.format(c='generated_text')} AS b FROM tdk_subset WHERE coalesce(asr_error, '') = '')", f"scored AS (SELECT len(r) AS n, ({_DISTANCE.format(a='r', b='b')})[-1] AS e FROM forms)",
         "SELECT count(*) AS n_rows, sum(e) AS word_edits, sum(n) AS reference_words, round(coalesce(sum(e) / nullif(sum(n), 0), 0), 9) AS corpus_wer FROM scored"),
 }
+
+
+def _fold_rows() -> str:
+    """(character, folded compatibility form) of every character for which lower() alone is not enough, by the rules of the runtime's Unicode data."""
+    out = []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x30000))):
+        plain = unicodedata.normalize("NFC", unicodedata.normalize(FORM.replace("C", "D"), c).casefold())
+        if plain != c.lower() and unicodedata.category(c) != "Cn":
+            out.append(f"('{c}', '{plain}')")
+    return ", ".join(out).replace("'''", "''''")
+
+
+_FIELDS = ("text", "generated_text", "generated_text_ft")
+#: Words of the canonical forms: characters are mapped one by one and put together again. Only texts beyond ASCII take that way.
+_CANONICAL = f"""
+fold(c, plain) AS (VALUES {_fold_rows()}),
+src AS ({" UNION ALL ".join(f"SELECT source_row, '{c}' AS field, coalesce({c}, '') AS t FROM tdk_subset" for c in _FIELDS)}),
+odd AS (SELECT source_row, field, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM (SELECT source_row, field, regexp_extract_all(t, '(?s).') AS x FROM src WHERE regexp_matches(t, '[^\\x00-\\x7F]'))),
+again AS (SELECT source_row, field, nfc_normalize(string_agg(coalesce(plain, lower(c)), '' ORDER BY i)) AS t FROM odd LEFT JOIN fold USING (c) GROUP BY source_row, field),
+said AS (SELECT source_row, field, regexp_extract_all(replace(coalesce(a.t, lower(s.t)), '’', ''''), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*') AS w FROM src s LEFT JOIN again a USING (source_row, field)),
+form AS (SELECT source_row, any_value(w) FILTER (field = 'text') AS r, any_value(w) FILTER (field = 'generated_text') AS b, any_value(w) FILTER (field = 'generated_text_ft') AS f FROM said GROUP BY source_row),
+tdk AS (SELECT form.*, file, start_time, end_time, coalesce(asr_error, '') = '' AS b_ok, coalesce(asr_error_ft, '') = '' AS f_ok FROM tdk_subset JOIN form USING (source_row))"""
+
+
+def _chars(words: str) -> str:
+    return f"array_to_string({words}, '')"
+
+
+def _character_edits(a: str, b: str) -> str:
+    """The built-in distance counts bytes, so it serves plain ASCII only."""
+    letters = [f"regexp_extract_all({_chars(w)}, '(?s).')" for w in (a, b)]
+    return f"CASE WHEN regexp_matches({_chars(a)} || {_chars(b)}, '[^\\x00-\\x7F]') THEN ({_DISTANCE.format(a=letters[0], b=letters[1])})[-1] ELSE levenshtein({_chars(a)}, {_chars(b)}) END"
+
+
+def _scored(hypothesis: str, ok: str) -> str:
+    return f"""SELECT source_row, {ok} AS ok, CASE WHEN {ok} THEN ({_DISTANCE.format(a="r", b=hypothesis)})[-1] END AS we, CASE WHEN {ok} THEN len(r) END AS rw,
+    CASE WHEN {ok} THEN {_character_edits("r", hypothesis)} END AS ce, CASE WHEN {ok} THEN length({_chars("r")}) END AS rc FROM tdk"""
+
+
+_CANONICAL_PAIRS = f"""{_CANONICAL},
+pairs AS (SELECT source_row, file, start_time, end_time, len(r) AS n, length({_chars("r")}) AS nc, ({_DISTANCE.format(a="r", b="b")})[-1] AS be, ({_DISTANCE.format(a="r", b="f")})[-1] AS fe FROM tdk WHERE b_ok AND f_ok)"""
+_CANONICAL_SIX = f"""{_CANONICAL_PAIRS},
+six AS (SELECT pairs.*, {_character_edits("r", "b")} AS bce, {_character_edits("r", "f")} AS fce FROM pairs JOIN form USING (source_row))"""
+_SIX_NAMES = _NAMES + ", sum(bce) AS base_char_edits, sum(fce) AS ft_char_edits, sum(nc) AS reference_characters"
+_CORPUS = """SELECT '{model}' AS model, count(*) AS n_rows, count(*) FILTER (ok) AS scored, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (rw = 0) AS empty_references, sum(we) AS word_edits, sum(rw) AS reference_words,
+    sum(ce) AS character_edits, sum(rc) AS reference_characters, sum(we) / nullif(sum(rw), 0) AS corpus_wer, sum(ce) / nullif(sum(rc), 0) AS corpus_cer, coalesce(count(*) FILTER (ok) / nullif(count(*), 0), 0.0) AS coverage FROM {rows}"""
+
+
+def _of_pairs(name: str) -> str:
+    """The SQL over simple forms with the canonical pairs in place of the simple ones."""
+    return ORACLE[name].replace(_PAIRS.strip(), _CANONICAL_PAIRS.strip())
+
+
+ORACLE |= {
+    "normal_forms": _q(_CANONICAL, "SELECT source_row, array_to_string(r, ' ') AS text, array_to_string(b, ' ') AS generated_text, array_to_string(f, ' ') AS generated_text_ft FROM form"),
+    "score_rows": _q(_CANONICAL, f"scored AS ({_scored('b', 'b_ok')})", "SELECT source_row, we AS word_edits, rw AS reference_words, ce AS character_edits, rc AS reference_characters, we / nullif(rw, 0) AS wer, ce / nullif(rc, 0) AS cer FROM scored"),
+    "score_corpus": _q(_CANONICAL, f"one AS ({_scored('b', 'b_ok')})", f"two AS ({_scored('f', 'f_ok')})", _CORPUS.format(model="base", rows="one") + " UNION ALL " + _CORPUS.format(model="tuned", rows="two")),
+    "paired_by_file": _q(_CANONICAL_SIX, f"SELECT file, min(source_row) AS first_row, {_SIX_NAMES} FROM six GROUP BY file"),
+    "paired_comparison": _q(_CANONICAL_SIX, """t AS (SELECT count(DISTINCT coalesce(file, '')) AS videos, count(*) AS n_rows, sum(be) AS be, sum(fe) AS fe, sum(n) AS w, sum(bce) AS bce, sum(fce) AS fce, sum(nc) AS c FROM six)""",
+        "SELECT videos, n_rows, (SELECT count(*) FROM tdk_subset) - n_rows AS left_out, be / nullif(w, 0) AS base_wer, fe / nullif(w, 0) AS ft_wer, bce / nullif(c, 0) AS base_cer, fce / nullif(c, 0) AS ft_cer, (fe - be) / nullif(w, 0) AS delta_wer, (be - fe) / nullif(be, 0) AS relative_wer_reduction FROM t"),
+    "paired_slices": _of_pairs("simple_slices").replace("round(sum(be) / nullif(sum(n), 0), 9)", "sum(be) / nullif(sum(n), 0)").replace("round(sum(fe) / nullif(sum(n), 0), 9)", "sum(fe) / nullif(sum(n), 0)"),
+    "paired_outcomes": _of_pairs("simple_outcomes"),
+    "paired_examples": _of_pairs("simple_examples"),
+    "uniform_sample": _q(_BASE, f"SELECT source_row, duration, word_count, wps AS words_per_second FROM feat WHERE channel <> '{HELD_OUT}' ORDER BY sha256('2026/' || source_row), source_row LIMIT 20000"),
+    # The fold keeps what is left of a channel's part and the rows taken so far.
+    "budget_sample": _q(_SPLIT, "few AS (SELECT channel, video, source_row, duration, row_number() OVER (PARTITION BY channel, video ORDER BY sha256('2026/' || source_row), source_row DESC) AS rank FROM split WHERE split = 'train' AND exclusion_reason = '' QUALIFY rank <= 128)",
+        "visit AS (SELECT channel, list({'room': CAST(7200 AS DOUBLE) / (SELECT count(DISTINCT channel) FROM few), 'd': duration, 'kept': [source_row]} ORDER BY rank, sha256('2026/' || video), video) AS x FROM few GROUP BY channel)",
+        """done AS (SELECT channel, list_reduce(x, lambda a, y: CASE WHEN y.d <= a.room THEN {'room': a.room - y.d, 'd': y.d, 'kept': list_concat(a.kept, y.kept)} ELSE a END, {'room': x[1].room, 'd': CAST(0 AS DOUBLE), 'kept': x[1].kept[1:0]}) AS z FROM visit),
+        kept AS (SELECT channel, unnest(z.kept) AS source_row FROM done)""",
+        "SELECT few.channel, video, rank, source_row FROM few JOIN kept USING (source_row)"),
+    "metadata_audit": _q(_SPLIT, """counted AS (
+        SELECT 'channel' AS section, channel AS key, count(*) AS n_rows, round(sum(duration / 3600), 9) AS hours, count(DISTINCT video) AS videos FROM split GROUP BY channel
+        UNION ALL SELECT 'split', split, count(*), round(sum(duration / 3600), 9), count(DISTINCT video) FROM split WHERE exclusion_reason = '' GROUP BY split
+        UNION ALL SELECT 'duration_bucket', duration_bucket, count(*), NULL, NULL FROM split GROUP BY duration_bucket
+        UNION ALL SELECT 'exclusion', exclusion_reason, count(*), NULL, NULL FROM split WHERE exclusion_reason <> '' GROUP BY exclusion_reason
+        UNION ALL SELECT 'flag', flag, count(*), NULL, NULL FROM (SELECT unnest(flags) AS flag FROM split WHERE NOT held_out) GROUP BY flag)""",
+        "wide AS (" + ORACLE["mismatch_counts"].split("SELECT count(*) AS n_rows", 1)[1].join(["SELECT count(*) AS n_rows", ")"]),
+        "SELECT * FROM counted UNION ALL SELECT 'mismatch', key, n_rows, NULL, NULL FROM (UNPIVOT wide ON * INTO NAME key VALUE n_rows)"),
+}
