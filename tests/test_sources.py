@@ -1,7 +1,11 @@
+import gzip
+import hashlib
+import http.server
 import io
 import json
 import sqlite3
 import tarfile
+import threading
 import wave
 
 import numpy as np
@@ -9,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocspan.operators import seams
-from vocspan.sources import archives, sinks, tables, wav
+from vocspan.sources import archives, remote, sinks, tables, wav
 from vocspan.streaming import journal_stream
 
 
@@ -105,6 +109,161 @@ def test_wav(spark):
     assert s.select(F.size(wav.padded(F.col("x"))).alias("n"), F.size(wav.loud_windows(F.col("x"), 1000)).alias("k")).first() == (16000, 4)
 
 
+def test_clips_before_the_recording_are_refused(spark):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16_000)
+        w.writeframes(bytes(32_000))
+    data = out.getvalue()
+    reader = wav.ClipReader(lambda name, a, b: data[a : b + 1])
+    for start, end in ((-0.001, 0.5), (0.5, 0.5), (0.6, 0.5), (float("nan"), 0.5)):
+        with pytest.raises(ValueError):
+            reader.clip("x", start, end)
+    a, b = wav.frame_range(F.col("s"), F.col("e"), F.lit(16_000), F.lit(16_000))
+    rows = spark.createDataFrame([(-0.001, 0.5), (0.5, 0.4), (0.0, 0.5)], "s double, e double").select(a, b).collect()
+    assert [tuple(r) for r in rows] == [(None, None), (None, None), (0, 8000)]
+
+
+def test_writer_gives_up(spark, tmp_path):
+    kinds = "row_key string, cache_name string, source string, error string, payload binary"
+    clip = lambda i, ok: (f"r{i}", f"{i:064x}.mp3", "url", "" if ok else "Timeout", b"x" if ok else None)
+    assert not archives.hopeless(63, 63) and archives.hopeless(64, 58) and not archives.hopeless(64, 57)
+    for i, (rows, fails) in enumerate((([clip(k, k < 6) for k in range(64)], True), ([clip(k, k < 7) for k in range(64)], False), ([clip(0, False)], True), ([], False))):
+        write = lambda r=rows, i=i: archives.write_archives(spark.createDataFrame(r, kinds).coalesce(1).sortWithinPartitions("row_key"), str(tmp_path / f"c{i}"), 1).count()
+        if fails:
+            with pytest.raises(Exception, match="failed"):
+                write()
+            assert not list((tmp_path / f"c{i}").glob("*.tar"))
+        else:
+            assert write() == len(rows)
+
+
+def test_training_archive(spark, tmp_path):
+    def pack(name, entries):
+        with tarfile.open(tmp_path / name, "w") as tar:
+            for n, content in entries:
+                info = tarfile.TarInfo(n)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        return archives.read_members(spark, str(tmp_path / name))
+
+    good = pack("good.tar", [("train.jsonl", b"{}"), ("validation.jsonl", b""), ("audio/a.wav", b"RIFF")])
+    digest = tables.file_digests(spark, str(tmp_path / "good.tar")).first()["sha256"]
+    assert archives.training_members(good, digest, digest).count() == 3
+    with pytest.raises(ValueError):
+        archives.training_members(good, digest, "0" * 64)
+    for entry in ("other.txt", "audio/../a.wav", "audio/b.mp3"):
+        with pytest.raises(ValueError, match="unexpected"):
+            archives.training_members(pack("bad.tar", [("train.jsonl", b""), (entry, b"x")]))
+    manifest = spark.createDataFrame([("audio/a.wav", 0.2, "t", "train"), ("audio/a.wav", 20.2, "t", "train")], "audio_filepath string, duration double, text string, split string")
+    assert archives.check_manifest(manifest, "train", good).count() == 2
+    for column, value in (("duration", 0.19), ("duration", None), ("split", "validation"), ("split", None), ("audio_filepath", "audio/z.wav")):
+        with pytest.raises(ValueError):
+            archives.check_manifest(manifest.withColumn(column, F.lit(value).cast(dict(manifest.dtypes)[column])), "train", good)
+
+
+def test_documents_progress_and_arrays(spark, tmp_path):
+    sinks.write_report({"rows": 3, "names": ["é"]}, str(tmp_path / "a.json"))
+    assert tables.read_document(spark, str(tmp_path / "a.json")).first()["rows"] == 3
+    (tmp_path / "b.json").write_text("{")
+    with pytest.raises(Exception):
+        tables.read_document(spark, str(tmp_path / "b.json"), "rows long").collect()
+    for i in range(3):
+        sinks.append_progress({"done": i, "text": "é"}, str(tmp_path / "p.jsonl"))
+    assert [r["done"] for r in tables.read_torn_jsonl(spark, str(tmp_path / "p.jsonl"), "done long, text string").collect()] == [0, 1, 2]
+    sinks.write_npz({"prototype": np.arange(3.0), "windows": np.ones((2, 3))}, str(tmp_path / "p.npz"))
+    assert tables.read_npz(spark, str(tmp_path / "p.npz")).count() == 3
+    with pytest.raises(ValueError):
+        sinks.write_npz({"x": np.array([{}])}, str(tmp_path / "q.npz"))
+    big = tmp_path / "odd name é.bin"
+    big.write_bytes(b"abc" * 1000)
+    assert tables.file_digests(spark, str(big), block=7).first()["sha256"] == hashlib.sha256(b"abc" * 1000).hexdigest()
+
+
+def test_downloads_go_on(spark, tmp_path):
+    data = {"u/1": bytes(range(200)) * 5, "u/2": b"tail" * 30}
+    calls, broken = [], {"left": 1}
+
+    def fetch(url, first, last):
+        calls.append((url, first, last))
+        if url == "u/1" and first == 600 and broken["left"]:
+            broken["left"] -= 1
+            raise OSError
+        return data[url][first : last + 1]
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    parts = [{"url": u, "bytes": len(b), "sha256": sha(b)} for u, b in data.items()]
+    whole, target = data["u/1"] + data["u/2"], str(tmp_path / "f.bin")
+    with pytest.raises(OSError):
+        remote.download(parts, target, sha(whole), fetch=fetch, block=300, tries=1, pause=lambda s: None)
+    calls.clear()
+    assert remote.download(parts, target, sha(whole), fetch=fetch, block=300, pause=lambda s: None)
+    assert calls[0] == ("u/1", 600, 899) and open(target, "rb").read() == whole and sorted(p.name for p in tmp_path.iterdir()) == ["f.bin"]
+    assert not remote.download(parts, target, sha(whole), fetch=fetch)
+    zipped = gzip.compress(whole)
+    data["z"] = zipped
+    assert remote.download([{"url": "z", "bytes": len(zipped), "sha256": sha(zipped)}], str(tmp_path / "g.bin"), sha(whole), unzip=True, fetch=fetch)
+    for bad in ([{**parts[0], "sha256": "0"}], [parts[0]]):
+        with pytest.raises(ValueError):
+            remote.download(bad, str(tmp_path / "h.bin"), sha(whole), fetch=fetch)
+    rows = spark.createDataFrame([(1, "u", 0, 3), (2, "x", 0, 3)], "k int, url string, a long, b long")
+    got = remote.read_ranges(rows, "k", "url", "a", "b", fetch=lambda u, a, b: {"u": b"abcd"}[u][a : b + 1], tries=1).collect()
+    assert {r["k"]: (bytes(r["payload"] or b""), r["error"]) for r in got} == {1: (b"abcd", ""), 2: (b"", "KeyError")}
+
+
+def test_ranges_over_http(tmp_path):
+    data = bytes(range(256)) * 4
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            first, last = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            good = "bad" not in self.path
+            body = data[first : last + 1] if good else data
+            self.send_response(206 if good else 200)
+            if good:
+                self.send_header("Content-Range", f"bytes {first}-{last}/{len(data)}")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    assert remote.http_range(base + "a", 5, 9) == data[5:10]
+    with pytest.raises(ValueError):
+        remote.http_range(base + "bad", 5, 9)
+    server.shutdown()
+
+
+def test_transcoding(spark):
+    df = spark.createDataFrame([("a", b"xyz"), ("b", b"")], "k string, p binary")
+    got = {r["k"]: (bytes(r["payload"] or b""), r["error"]) for r in seams.transcode(df, "k", "p", ("tr", "a-z", "A-Z")).collect()}
+    assert got == {"a": (b"XYZ", ""), "b": (b"", "ValueError")}
+    assert {r["error"] for r in seams.transcode(df, "k", "p", ("no-such-program",)).collect()} == {"FileNotFoundError"}
+
+
+def test_only_buckets_with_news_are_written_again(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = lambda ks, seq: spark.createDataFrame([(f"k{k}", seq, "x") for k in ks], "row_key string, seq long, v string")
+    sinks.upsert_table(rows(range(40), 1), folder, "row_key", "seq", buckets=8)
+    before = json.load(open(f"{folder}/CURRENT"))["buckets"]
+    held = sinks.read_table(spark, folder)
+    sinks.upsert_table(rows([3], 2), folder, "row_key", "seq", buckets=99)
+    after = json.load(open(f"{folder}/CURRENT"))["buckets"]
+    assert len(after) == 8 and sum(before[b] != after[b] for b in after) == 1
+    assert held.count() == 40  # a reader of the version before is not disturbed
+    sinks.upsert_table(rows([3], 0), folder, "row_key", "seq")
+    got = {r["row_key"]: r["seq"] for r in sinks.read_table(spark, folder).collect()}
+    assert len(got) == 40 and got["k3"] == 2 and set(got.values()) == {1, 2}
+    sinks.upsert_table(rows([], 5), folder, "row_key", "seq")
+    assert sinks.read_table(spark, folder).count() == 40
+
+
 def test_seams(spark):
     calls = {"tries": 0}
 

@@ -250,21 +250,119 @@ def test_more_vectors_than_a_block(spark):
     m = np.random.default_rng(8).normal(size=(1203, 3))
     m[:400] = m[0]
     m /= np.linalg.norm(m, axis=1)[:, None]
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id int, v array<double>")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(5000, None)], "id int, v array<double>")
     few = df.filter("id % 401 = 7")
-    sims = speakers.cosine_to(few, "v", df.select(F.col("id").cast("string").alias("name"), F.col("v").alias("prototype")), "name").collect()
+    protos = df.filter("v is not null").select(F.col("id").cast("string").alias("name"), F.col("v").alias("prototype"))
+    sims = speakers.cosine_to(few.repartition(3), "v", protos, "name").collect()
     assert len(sims) == 3 * 1203 and all(abs(r["similarity"] - m[r["id"]] @ m[int(r["name"])]) < 1e-12 for r in sims)
     s = (m @ m.T)[np.triu_indices(len(m), 1)]
-    got = speakers.pairwise(df, "id", "v").first()
-    assert got[0] == len(s) and np.allclose(got[1:], [s.min(), np.median(s)], atol=1e-12, rtol=0)
+    for block in (speakers.BLOCK, 70):
+        got = speakers.pairwise(df.repartition(2), "id", "v", block).first()
+        assert got[0] == len(s) and np.allclose(got[1:], [s.min(), np.median(s)], atol=1e-12, rtol=0)
+    assert tuple(speakers.pairwise(df.limit(0), "id", "v").first()) == (0, None, None) and speakers.cosine_to(df.limit(0), "v", protos, "name").count() == 0
 
 
-def test_exact_median(spark):
+def test_binned_median(spark):
     rng = random.Random(6)
     for values in ([], [0.25], [0.5, -0.5], [1.0, 1.0, 1.0, 0.1], [rng.choice([0.1, 0.1 + 1e-17, 0.1 + 2e-16, 0.3]) for _ in range(40)], [rng.uniform(-1, 1) for _ in range(75)]):
-        df = spark.createDataFrame([(x,) for x in [*values, None]], "s double")
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "s double").filter("s is not null").coalesce(1)
+
+        def count(low, high, bins, df=df):
+            place = F.when(F.col("s") < low, -1).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("s") - low) / (high - low) * bins)))
+            return df.filter(F.col("s") <= high).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+
         want = (len(values), min(values, default=None), sorted(values)[(len(values) - 1) // 2] / 2 + sorted(values)[len(values) // 2] / 2 if values else None)
-        assert speakers.exact_median(df, "s", bins=4) == want
+        assert speakers.binned_median(count, bins=4) == want
+
+
+def test_group_similarities(spark):
+    groups = spark.createDataFrame([("a", [3, 1, 9]), ("b", [2]), ("c", []), ("d", None), ("e", [9])], "g string, ids array<long>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 4.0]), (4, [0.0, 0.0])], "id long, v array<double>")
+    got = {r["g"]: (r["similarities"], r["n_missing"], r["median_similarity"]) for r in speakers.group_similarities(groups, ["g"], "ids", vectors, "id", "v", [1.0, 0.0]).collect()}
+    assert got == {"a": ([0.6, 1.0, None], 1, 0.8), "b": ([0.0], 0, 0.0), "c": ([], 0, None), "d": ([], 0, None), "e": ([None], 1, None)}
+
+
+def test_unnamed_recordings_are_seen(spark):
+    rows = [("c", "20200101--abcdefghijk--t.TextGrid", "S", 0.9, [[0.0, 1.0], [1.0, 2.0]]), ("c", "other.TextGrid", "S", 0.8, [[0.0, 1.0]]), ("c", "bad", "S", 0.1, [[0.0, 1.0]])]
+    df = spark.createDataFrame(rows, "channel string, file string, speaker string, median_similarity double, segments array<array<double>>")
+    assert [r["file"] for r in speakers.unnamed(df, 0.5, "n").collect()] == ["other.TextGrid"]
+    assert [tuple(r) for r in speakers.detections(df, 0.5, "n").collect()] == [("abcdefghijk", 0.0, 2.0)]
+    with pytest.raises(ValueError):
+        speakers.detections(df, 0.5, "n", strict=True)
+    top = spark.createDataFrame([("v", i, float(i % 3)) for i in range(6)], "variant string, label int, m double")
+    assert {(r["label"], r["place"]) for r in speakers.top_per(top, "variant", "m", "label").collect()} == {(2, 1), (5, 2), (1, 3)}
+
+
+def test_places_in_groups_series_and_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), i, rng.choice([None, float("nan"), rng.random(), 0.5]) if i % 5 == 0 else rng.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(7)
+    placed = shards.with_group_position(df, ["k"], ["i"]).collect()
+    for k in ("hot", "cold", None):
+        mine = sorted((r["i"], r["position"]) for r in placed if r["k"] == k)
+        assert [p for _, p in mine] == list(range(sum(r[0] == k for r in rows)))
+        values = [r[2] for r in rows if r[0] == k and r[2] is not None and r[2] == r[2]]
+        got = next(tuple(r)[1:] for r in stats.quantiles(df, ["k"], "v").collect() if r["k"] == k)
+        assert np.allclose(got, np.quantile(values, [0.025, 0.5, 0.975]), atol=1e-12, rtol=0)
+    clean = df.withColumn("v", F.when(F.isnan("v"), F.lit(None)).otherwise(F.col("v")))
+    rolled = {(r["k"], r["i"]): r["rolling"] for r in stats.rolling_median(clean, ["k"], "i", "v", rows=5, piece=20).collect()}
+    for k in ("hot", "cold", None):
+        mine = [r for r in rows if r[0] == k]
+        for n, r in enumerate(mine):
+            last = [x[2] for x in mine[max(0, n - 4) : n + 1] if x[2] is not None and x[2] == x[2]]
+            assert rolled[k, r[1]] == (pytest.approx(float(np.median(last))) if last else None)
+    assert stats.quantiles(df.limit(0), ["k"], "v").count() == 0 and stats.rolling_median(df.limit(0), ["k"], "i", "v").count() == 0
+    assert tuple(stats.worker_time(df.select("v").filter("v = 0.5"), "v").first())[2:] == (0.5, 0.5)
+
+
+def test_hexagons(spark):
+    rng = random.Random(3)
+    points = [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(200)]
+    centres = [(i * 1.0, j * 2.0) for i in range(-1, 11) for j in range(-1, 7)] + [(i + 0.5, j * 2.0 + 1.0) for i in range(-1, 11) for j in range(-1, 7)]
+    near = lambda p: min(centres, key=lambda c: (p[0] - c[0]) ** 2 + 3 * ((p[1] - c[1]) / 2) ** 2)
+    want = {}
+    for p in points:
+        want[near(p)] = want.get(near(p), 0) + 1
+    got = stats.hexagons(spark.createDataFrame([*points, (None, 1.0)], "x double, y double"), "x", "y", 1.0, 1.0).collect()
+    assert {(r["cx"], r["cy"]): r["n"] for r in got} == want
+
+
+def test_reuse_of_a_cache(spark):
+    rows = spark.createDataFrame([("a", "x.mp3"), ("b", "y.mp3"), ("b", "y.mp3")], "row_key string, cache_name string")
+    cached = spark.createDataFrame([("b", "y.mp3"), ("z", "q.mp3")], "row_key string, cache_name string")
+    assert sorted((r["row_key"], r["cached"]) for r in journal.reuse(rows, cached, "row_key").collect()) == [("a", False), ("b", True), ("b", True)]
+    with pytest.raises(Exception, match="another name"):
+        journal.reuse(rows, cached.withColumn("cache_name", F.lit("other.mp3")), "row_key").collect()
+    assert [r[0] for r in journal.limited(rows, ["row_key"], 1).collect()] == ["a"] and journal.limited(rows, ["row_key"]).count() == 2
+    with pytest.raises(ValueError):
+        journal.limited(rows, ["row_key"], 0)
+    short = spark.createDataFrame([(0.1, "ValueError: Insufficient or invalid audio: 3"), (0.3, "ValueError: Insufficient or invalid audio"), (0.1, "Timeout"), (None, None)], "d double, e string")
+    assert [r[0] for r in short.select(journal.settled_short(F.col("d"), F.col("e"))).collect()] == [True, False, False, False]
+    assert [r[0] for r in spark.createDataFrame([(5,), (4,)], "n int").select(journal.scope(F.col("n"), 5)).collect()] == ["full_tdk", "subset"]
+    names = spark.createDataFrame([("u", "f"), (None, None)], "a string, b string").select(K.cache_name(F.col("a"), F.col("b")).alias("c")).select("c", K.is_cache_name(F.col("c")).alias("ok")).collect()
+    assert names[0]["c"] == hashlib.sha256(b"u|f").hexdigest() + ".mp3" and all(r["ok"] for r in names)
+
+
+def test_digest_of_a_data_set(spark):
+    rows = [(i, f"t{i}", None if i % 3 else "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "position long, text string, generated_text string").repartition(4)
+    level = [hashlib.sha256(json.dumps({"text": t}, sort_keys=True, ensure_ascii=False).encode()).hexdigest() for _, t, _ in rows]
+    while True:
+        level = [hashlib.sha256("".join(level[i : i + 7]).encode()).hexdigest() for i in range(0, len(level), 7)]
+        if len(level) == 1:
+            break
+    assert tuple(K.ordered_digest(df, "position", ["text"], fan=7).first()) == (50, level[0])
+    whole = K.identity(df, "position").first()["digest"]
+    assert whole == K.identity(df.withColumn("generated_text", F.lit("other")), "position").first()["digest"]
+    assert whole != K.identity(df.withColumn("position", 49 - F.col("position")), "position").first()["digest"]
+    assert tuple(K.ordered_digest(df.limit(0), "position", ["text"]).first()) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_disjoint_periods(spark):
+    df = spark.createDataFrame([("a", 1, 3), ("a", 3, 4), ("a", 6, 9), ("b", 1, 2)], "k string, s int, e int")
+    assert {tuple(r) for r in intervals.disjoint_check(df, "k", "s", "e").collect()} == {("a", 1), ("b", 0)}
 
 
 def test_windows_and_medians(spark):

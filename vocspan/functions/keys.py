@@ -7,7 +7,7 @@ import json
 from urllib.parse import quote, urlencode
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of a row key, in the order of its JSON text.
@@ -68,7 +68,30 @@ def is_cache_name(name: Column) -> Column:
     return name.rlike(r"^[a-f0-9]{64}\.mp3$")
 
 
-def ordered_digest(position: Column, row_hash: Column) -> Column:
-    """Aggregate: order-sensitive fingerprint of a data set of any size, the sum of hashes of (position, row) and the count."""
-    each = F.xxhash64(position, row_hash)
-    return F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(each.cast("decimal(38,0)")).cast("string"))
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's columns as a JSON object with sorted keys, missing values as empty strings."""
+    return row_key(tuple(columns))
+
+
+def ordered_digest(rows: DataFrame, position: str, columns: list[str], fan: int = 4096) -> DataFrame:
+    """One row: n_rows and digest, an order-sensitive SHA-256 of a data set of any size.
+
+    ``fan`` row digests in the order of their dense positions are joined and hashed, then ``fan`` of the results, until one is
+    left, so no task holds more than ``fan`` of them. An empty set has the digest of an empty text. Columns that are derived by a
+    model run are left out of ``columns``, so they do not change the identity.
+    """
+    level = rows.select(F.col(position).alias("i"), row_digest(columns).alias("d"))
+    count = rows.count()
+    left = count
+    while True:
+        packed = level.groupBy(F.floor(F.col("i") / fan).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("x"))
+        level = packed.select("i", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ""), 256).alias("d"))
+        left = -(-left // fan)
+        if left <= 1:
+            break
+    return level.groupBy().agg(F.lit(count).cast("long").alias("n_rows"), F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+def identity(rows: DataFrame, position: str, derived: tuple[str, ...] = ("generated_text", "asr_duration_seconds", "asr_error")) -> DataFrame:
+    """ordered_digest of everything but the columns that a model run adds and the position itself."""
+    return ordered_digest(rows, position, [c for c in rows.columns if c not in derived and c != position])

@@ -2,7 +2,8 @@
 
 Every measure is algebraic: each map task keeps a bounded hash table of mergeable states (Spark's partial aggregate,
 which falls back to sorting and spilling when the table is full) and only one compact state per key and task is shuffled,
-so the work of a hot key is spread over all map tasks. All key columns are handled in one scan by grouping sets.
+so the work of a hot key is spread over all map tasks. All key columns are handled in one scan: a row is laid out
+once per key column, before any state is kept.
 """
 
 from __future__ import annotations

@@ -25,9 +25,38 @@ def pending(rows: DataFrame, state: DataFrame, key: str, done: Column | None = N
     return rows.join(ready, key, "left_anti")
 
 
-def settled_short(duration: Column, error: Column, prefix: str = "InvalidEmbedding", least: float = 0.25) -> Column:
-    """Clips too short to be scored need no further attempt."""
-    return (duration < least) & error.startswith(prefix)
+# The error of a clip that cannot be scored, and the seconds below which no further attempt helps.
+SHORT_ERROR, SHORT_SECONDS = "ValueError: Insufficient or invalid audio", 0.25
+
+
+def settled_short(duration: Column, error: Column, prefix: str = SHORT_ERROR, least: float = SHORT_SECONDS) -> Column:
+    """Clips too short to be scored need no further attempt; false where duration or error is missing."""
+    return F.coalesce((duration < least) & error.startswith(prefix), F.lit(False))
+
+
+def reuse(rows: DataFrame, cached: DataFrame, key: str, name: str = "cache_name") -> DataFrame:
+    """rows (key, name, ...) with cached: whether the cache has the clip of the key. A key that is cached under another name stops the run.
+
+    cached: key and name of the clips that an earlier run has kept; failed attempts are not among them. A key comes once in it.
+    """
+    known = cached.select(key, F.col(name).alias("__name"))
+    joined = rows.join(known, key, "left")
+    same = F.col("__name").isNull() | F.col("__name").eqNullSafe(F.col(name))
+    checked = F.when(same, F.col("__name").isNotNull()).otherwise(F.raise_error(F.concat(F.lit("another name is cached for key "), F.col(key).cast("string"))).cast("boolean"))
+    return joined.withColumn("cached", checked).drop("__name")
+
+
+def limited(groups: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """The first n groups by their keys, all without n: an ordered limit. A limit below 1 is an error."""
+    if n is not None and n < 1:
+        raise ValueError("a limit must be at least 1")
+    distinct = groups.select(*keys).distinct()
+    return distinct if n is None else distinct.orderBy(*keys).limit(n)
+
+
+def scope(rows: Column, expected: int, whole: str = "full_tdk", part: str = "subset") -> Column:
+    """Label of what a result covers: the whole set if its number of rows is the expected one."""
+    return F.when(rows == expected, F.lit(whole)).otherwise(F.lit(part))
 
 
 def export(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:

@@ -22,16 +22,28 @@ def _block(ms: Column, block_ms: int) -> Column:
     return F.coalesce(F.floor(ms / block_ms), F.lit(0))
 
 
+def entity_key(keys: list[str]) -> Column:
+    """128-bit hash of the key columns, with NULLs and the borders between columns in it. Long names are not carried through shuffles."""
+    parts = [F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in keys]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
+def _named(edges: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """edges with the key columns in place of the entity."""
+    names = intervals.select(entity_key(keys).alias("__entity"), *keys).distinct()
+    return edges.join(names, F.col("entity") == F.col("__entity")).select(*keys, *[c for c in edges.columns if c != "entity"])
+
+
 def ranked_boundaries(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", block_ms: int = BLOCK_MS) -> DataFrame:
     """One row per place between ranks where a period opens or closes.
 
-    Columns: keys, ``rank`` (rows that lie before), ``close_ms`` and ``close_rows`` (the end of the period before and the
+    Columns: ``entity`` (see entity_key), ``rank`` (rows that lie before), ``close_ms`` and ``close_rows`` (the end of the period before and the
     rows that end there), ``open_ms`` and ``open_rows`` (the start of the next). The first place has no close, the last no open.
     Rows need start < end. NULL keys form an entity of their own.
     """
-    # One struct for all keys: never NULL itself, and equal to another with NULLs in the same places, so windows and the
-    # join share one partitioning and nothing is inferred that would make two plans of one shuffle.
-    entity = F.struct(*keys).alias("entity")
+    # One narrow key for all: never NULL itself, so windows and the join share one partitioning and nothing is inferred that would
+    # make two plans of one shuffle.
+    entity = entity_key(keys).alias("entity")
     instants = (
         intervals.select(entity, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(start).alias("ms")), F.struct(F.lit(1).alias("kind"), F.col(end).alias("ms")))).alias("at"))
         .groupBy("entity", F.col("at.kind").alias("kind"), F.col("at.ms").alias("ms"))
@@ -57,7 +69,7 @@ def ranked_boundaries(intervals: DataFrame, keys: list[str], start: str = "start
     # A start alone at rank 0 opens the first period; an end alone at a rank that no start follows closes the last.
     first = (F.col("rank") == 0) & F.col("open_ms").isNotNull()
     between = F.col("open_ms") > F.col("close_ms")
-    return paired.filter(first | between | (F.col("rank") == F.col("size"))).select("entity.*", *_EDGE)
+    return paired.filter(first | between | (F.col("rank") == F.col("size"))).select("entity", *_EDGE)
 
 
 def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", block_ms: int = BLOCK_MS) -> DataFrame:
@@ -67,7 +79,7 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_
     Touching intervals join. Empty input gives no rows; columns other than the keys and times are ignored.
     """
     # Read twice below, and as small as the result: kept, so that the ranks are computed once.
-    edges = cut(ranked_boundaries(intervals, keys, start, end, block_ms)).select(F.struct(*keys).alias("entity"), *_EDGE, _block(F.coalesce("open_ms", "close_ms"), block_ms).alias("block"))
+    edges = cut(ranked_boundaries(intervals, keys, start, end, block_ms)).select("entity", *_EDGE, _block(F.coalesce("open_ms", "close_ms"), block_ms).alias("block"))
     inside = Window.partitionBy("entity", "block").orderBy("rank")
     nxt = F.struct("rank", "close_ms", "close_rows")
     # The edge after the last one of a block is the first of the entity's next block that has any.
@@ -86,4 +98,4 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_
         F.col("open_ms").isNotNull() & F.col("close_ms").isNotNull(),
         F.struct(F.lit("gap").alias("kind"), F.col("close_ms").alias("start_ms"), F.col("open_ms").alias("end_ms"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("boolean").alias("identical")),
     )
-    return linked.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("x")).select("entity.*", "x.*")
+    return _named(linked.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("x")).select("entity", "x.*"), intervals, keys)

@@ -82,13 +82,14 @@ def greedy_budget(ranked: DataFrame, hours: float, seed: int = 2026) -> DataFram
     if hours <= 0:
         raise ValueError("hours must be positive")
     visit = ranked.select("channel", "video", "rank", "source_row", "duration").withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}/"), F.col("video")), 256))
-    visit = cut(visit)
-    channels = max(1, visit.select("channel").distinct().count())
+    channels = max(1, ranked.select("channel").distinct().count())
     target = hours * 3600 / channels
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel, left = None, 0.0
         for pdf in batches:
+            if pdf.empty or (pdf["channel"].iloc[0] == channel == pdf["channel"].iloc[-1] and pdf["duration"].min() > left):
+                continue  # nothing in it fits any more
             keep = []
             for c, d in zip(pdf["channel"], pdf["duration"], strict=True):
                 if c != channel:

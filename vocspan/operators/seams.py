@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import subprocess
 import time
 from collections.abc import Callable, Iterator
 
@@ -105,6 +106,29 @@ def first_source(rows: DataFrame, key: str, fetchers: dict[str, Callable[[dict],
     return rows.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, payload binary, source string, error string")
 
 
+#: Any audio to 16-bit mono at 16 kHz.
+TRANSCODE = ("ffmpeg", "-v", "error", "-i", "pipe:0", "-ac", "1", "-ar", "16000", "-c:a", "pcm_s16le", "-f", "wav", "pipe:1")
+
+
+def transcode(rows: DataFrame, key: str, payload: str, command: tuple[str, ...] = TRANSCODE, seconds: float = 120.0) -> DataFrame:
+    """key, payload, error: what a program that reads and writes pipes makes of the bytes; a missing program is an error like any other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, data in zip(pdf[key], pdf[payload], strict=True):
+                try:
+                    done = subprocess.run(command, input=data, capture_output=True, timeout=seconds, check=True)
+                    if not done.stdout:
+                        raise ValueError("no output")
+                    out.append((k, done.stdout, ""))
+                except Exception as problem:  # noqa: BLE001
+                    out.append((k, None, type(problem).__name__))
+            yield pd.DataFrame(out, columns=[key, "payload", "error"])
+
+    return rows.select(key, payload).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, payload binary, error string")
+
+
 def resolve_titles(videos: DataFrame, known: DataFrame, resolver: Callable[[str], str | None]) -> DataFrame:
     """video, title, source: known titles stay, others are asked for, and the title in the name is the fallback. videos: video, fallback."""
     fresh = videos.join(known, "video", "left_anti")

@@ -10,18 +10,35 @@ from pyspark.sql import functions as F
 from vocspan.session import cut
 
 
+def _ranged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows cut into sorted ranges and written once, with the number of the range and the place in it, both of which Spark's row id holds."""
+    numbered = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    return cut(numbered.withColumns({"__part": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"))
+
+
 def with_position(rows: DataFrame, order: str, name: str = "position") -> DataFrame:
     """Dense positions from 0 in the order of a unique column, without a window over all rows.
 
-    Rows are cut into ranges; positions count inside a range and go on from the sizes of the ranges before it, of which
-    there is one number per task.
+    Rows are cut into ranges; places in a range go on from the sizes of the ranges before it, of which there is one number per task.
     """
-    ranged = cut(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
-    inside = Window.partitionBy("__part").orderBy(order)
+    ranged = _ranged(rows, [order])
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    placed = ranged.withColumn("__i", F.row_number().over(inside)).join(F.broadcast(before), "__part")
-    return placed.withColumn(name, F.col("__i") + F.col("__before") - 1).drop("__part", "__i", "__before")
+    return ranged.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__i") + F.col("__before")).alias(name))
+
+
+def with_group_position(rows: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """Dense positions from 0 inside every group, in the given order, although one group may hold most rows.
+
+    Rows are cut into ranges of (keys, order), so a hot group lies in many of them; places in a range go on from the sizes of the
+    group's parts before it, of which there is one number per range and group.
+    """
+    ranged = _ranged(rows, [*keys, *order])
+    sizes = ranged.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    before = sizes.select(F.col("__part").alias("__p"), *named, (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__n") - F.col("__first")).alias("__before"))
+    same = (F.col("__part") == F.col("__p")) & reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return ranged.join(before, same).select(*rows.columns, (F.col("__i") + F.col("__before")).alias(name))
 
 
 def shard(positioned: DataFrame, index: int, count: int, limit: int | None = None) -> DataFrame:

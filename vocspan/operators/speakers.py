@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspan.functions import values as V
+from vocspan.operators.gates import gate
 from vocspan.operators.periods import periods_and_gaps
+from vocspan.operators.shards import with_position
 from vocspan.session import cut
 
 # Thresholds of the sweep and the band below the chosen one.
@@ -57,91 +63,156 @@ def unit(vector: Column) -> Column:
 
 
 def mean_unit(vectors: DataFrame, vector: str, keys: list[str]) -> DataFrame:
-    """keys, prototype: the mean of the vectors at length 1. Sums per dimension are partial aggregates."""
-    parts = vectors.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("z"))
+    """keys, prototype: the mean of the vectors at length 1. A task adds up its batches, so one sum per key and batch is shuffled."""
+    kinds = dict(vectors.dtypes)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not pdf.empty:
+                groups = pdf.groupby(keys, dropna=False, sort=False)
+                sums = [np.sum(np.stack(g[vector].to_numpy()).astype(float), axis=0) for _, g in groups]
+                yield groups.size().rename("n").reset_index().assign(s=sums)[[*keys, "n", "s"]]
+
+    parts = vectors.select(*keys, vector).filter(F.col(vector).isNotNull()).mapInPandas(add, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, s array<double>")
+    sums = parts.select(*keys, "n", F.posexplode("s").alias("i", "x")).groupBy(*keys, "i").agg((F.sum("x") / F.sum("n")).alias("m"))
+    rows = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("z"))
     return rows.select(*keys, unit(F.transform("z", lambda p: p["m"])).alias("prototype"))
 
 
+# Names of the variants of a reference.
+FIRST_HALF, SECOND_HALF, WITHOUT = "first_half", "second_half", "omit_window_"
+
+
 def leave_one_out(windows: DataFrame, order: str, vector: str) -> DataFrame:
     """variant, prototype of each half of the windows and of all windows but one.
 
-    Sums over all windows come first and a variant subtracts its own, so nothing is multiplied by the number of variants.
+    The sum over all windows, one vector, is known first, and a variant subtracts its own window from it, so nothing is multiplied
+    by the number of variants. Windows are numbered by ranges of ``order``, which has to be unique.
     """
-    numbered = windows.select(F.col(vector).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("w"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    half = F.floor(F.col("n") / 2)
-    halves = numbered.withColumn("variant", F.when(F.col("w") < half, F.lit("first_half")).otherwise(F.lit("second_half")))
-    sums = numbered.select("n", F.posexplode("v").alias("i", "x")).groupBy("i", "n").agg(F.sum(F.col("x").cast("double")).alias("t"))
-    each = numbered.select("w", F.posexplode("v").alias("i", "x")).join(sums, "i").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("t") - F.col("x")) / (F.col("n") - 1)).alias("m")))).alias("z"))
-    omit = each.select(F.concat(F.lit("omit_window_"), F.col("w").cast("string")).alias("variant"), unit(F.transform("z", lambda p: p["m"])).alias("prototype"))
+    numbered = with_position(windows.select(order, F.col(vector).alias("v")), order, "w")
+    sums = numbered.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("t"), F.count(F.lit(1)).alias("n")).orderBy("i").collect()
+    n = sums[0]["n"] if sums else 0
+    halves = numbered.withColumn("variant", F.when(F.col("w") < n // 2, F.lit(FIRST_HALF)).otherwise(F.lit(SECOND_HALF)))
+    t = F.array(*[F.lit(float(r["t"])) for r in sums]).cast("array<double>")
+    rest = F.zip_with("v", t, lambda x, s: (s - x.cast("double")) / F.lit(max(n - 1, 1)))
+    omit = numbered.filter(F.lit(n > 1)).select(F.concat(F.lit(WITHOUT), F.col("w").cast("string")).alias("variant"), unit(rest).alias("prototype"))
     return mean_unit(halves, "v", ["variant"]).unionByName(omit)
 
 
-#: Prototypes and windows up to this many are held whole; more go through blocks of this many.
+#: Vectors that are multiplied at once.
 BLOCK = 1000
 
 
+def _packed(vectors: DataFrame, vector: str, block: int = BLOCK) -> DataFrame:
+    """matrix (bytes of doubles, row by row), n and rest (the other columns, in Python's own form) of every block of vectors, as they come. NULL vectors are left out."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at : at + block]
+                matrix = np.stack(part[vector].to_numpy()).astype("<f8")
+                yield pd.DataFrame({"matrix": [matrix.tobytes()], "n": [len(part)], "rest": [pickle.dumps(part.drop(columns=vector).reset_index(drop=True))]})
+
+    return vectors.filter(F.col(vector).isNotNull()).mapInPandas(pack, "matrix binary, n int, rest binary")
+
+
+def _matrix(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<f8").reshape(n, -1)
+
+
 def cosine_to(vectors: DataFrame, vector: str, prototypes: DataFrame, name: str) -> DataFrame:
-    """Every vector with its similarity to every prototype. A few prototypes are sent to all tasks; more than a block of them
-    are written once and meet the vectors partition by partition."""
-    few = prototypes.select(name, "prototype").limit(BLOCK + 1).collect()
-    if len(few) > BLOCK:
-        many = _blocks(prototypes.select(name, F.col("prototype").alias("__p")))
-        return vectors.crossJoin(many).withColumn("similarity", dot(F.col(vector), F.col("__p"))).drop("__p")
-    spark = vectors.sparkSession
-    table = F.array(*[F.struct(F.lit(r[name]).alias(name), F.array(*[F.lit(float(x)) for x in r["prototype"]]).alias("p")) for r in few]) if len(few) * len(few[0]["prototype"] if few else []) <= 2000 else None
-    if table is not None:
-        return vectors.withColumn("__p", F.explode(table)).withColumn(name, F.col(f"__p.{name}")).withColumn("similarity", dot(F.col(vector), F.col("__p.p"))).drop("__p")
-    small = spark.createDataFrame([(r[name], [float(x) for x in r["prototype"]]) for r in few], f"{name} string, __p array<double>").withColumn("__k", F.lit(1))
-    return vectors.withColumn("__k", F.lit(1)).join(F.broadcast(small), "__k").withColumn("similarity", dot(F.col(vector), F.col("__p"))).drop("__k", "__p")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """The rows, written once, in partitions of about a block."""
-    held = cut(rows)
-    return cut(held.repartition(-(-held.count() // BLOCK) or 1))
-
-
-def exact_median(values: DataFrame, column: str, bins: int = 1 << 16) -> tuple[int, float | None, float | None]:
-    """Number, minimum and median of values around -1 to 1, without holding them: they are counted in bins, and the bin of the
-    middle is divided again until the middle is known. The driver sees the filled bins of one pass. NULL is left out."""
-    n, least, low, high, below = 0, None, -1.0, 1.0, 0
-    values = values.filter(F.col(column).isNotNull())
-    part = values
+    """Every vector (other columns kept, the vector itself not) with its similarity to every prototype, in the column similarity.
+
+    Both sides are packed into blocks of at most 1000 rows, and a task multiplies a block of vectors with a block of prototypes as
+    matrices. The prototypes are written once; blocks of vectors meet them partition by partition, however many there are.
+    """
+    kinds = dict(vectors.dtypes)
+    names = [c for c in vectors.columns if c != vector]
+    few = cut(_packed(prototypes.select(name, "prototype"), "prototype").select(F.col("matrix").alias("p_matrix"), F.col("n").alias("p_n"), F.col("rest").alias("p_rest")))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                rest, labels = pickle.loads(r.rest), pickle.loads(r.p_rest)[name].to_numpy(object)
+                product = _matrix(r.matrix, r.n) @ _matrix(r.p_matrix, r.p_n).T
+                for i in range(0, r.n, 100):  # a part of the product at a time
+                    some = product[i : i + 100]
+                    out = rest.iloc[np.repeat(np.arange(i, i + len(some)), r.p_n)].reset_index(drop=True)
+                    yield out.assign(**{name: np.tile(labels, len(some)), "similarity": some.ravel()})[[*names, name, "similarity"]]
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{name}` {dict(prototypes.dtypes)[name]}, similarity double"
+    return _packed(vectors, vector).crossJoin(few).mapInPandas(multiply, schema)  # blocks with blocks
+
+
+def binned_median(count: Callable[[float, float, int], DataFrame], bins: int = 1 << 16) -> tuple[int, float | None, float | None]:
+    """Number, minimum and median of values from -1 to 1 that nobody holds.
+
+    count(low, high, bins) gives bin, n, low, high of the values from low to high, and those below low in bin -1; the bin of the middle
+    is divided again until the middle is known. The driver sees the filled bins of one pass.
+    """
+    n, least, low, high = 0, None, -1.0, 1.0
     while True:
-        place = F.floor((F.col(column) - low) / (high - low) * bins)
-        found = part.groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).alias("bin")).agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("bin").collect()
+        found = count(low, high, bins).groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect()
         if least is None:
             if not found:
                 return 0, None, None
             n, least = sum(r["n"] for r in found), found[0]["low"]
         middle = []
         for rank in ((n - 1) // 2, n // 2):
-            before = below
+            before = 0
             for r in found:
                 if rank < before + r["n"]:
                     break
                 before += r["n"]
-            middle.append((before, r))
-        (before, a), (_, b) = middle
+            middle.append(r)
+        a, b = middle
         if a["bin"] != b["bin"]:  # neighbours: the last of one bin and the first of the next
             return n, least, (a["high"] + b["low"]) / 2
         if a["low"] == a["high"]:
             return n, least, a["low"]
-        low, high, below = a["low"], a["high"], before
-        part = values.filter(F.col(column).between(low, high))
+        low, high = a["low"], a["high"]
 
 
-def pairwise(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """n_pairs, min_similarity, median_similarity over the pairs of the windows of one reference. Up to a block of windows the
-    median is an aggregate; beyond it pairs are formed block by block, once per pass of the median, and never kept."""
-    many = vectors.limit(BLOCK + 1).count() > BLOCK
-    held = _blocks(vectors.select(key, vector)) if many else vectors
-    a, b = held.select(F.col(key).alias("a"), F.col(vector).alias("x")), held.select(F.col(key).alias("b"), F.col(vector).alias("y"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select(dot(F.col("x"), F.col("y")).alias("s"))
-    if many:
-        return vectors.sparkSession.createDataFrame([exact_median(pairs, "s")], "n_pairs long, min_similarity double, median_similarity double")
-    return pairs.agg(F.count("s").alias("n_pairs"), F.min("s").alias("min_similarity"), F.percentile("s", 0.5).alias("median_similarity"))
+def pairwise(vectors: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """n_pairs, min_similarity, median_similarity over the pairs of the windows of one reference.
+
+    Pairs are formed as products of blocks, once per pass of the median, and are counted in the task that forms them. The work is
+    the number of pairs, nothing else grows with it. key: unique.
+    """
+    blocks = cut(_packed(vectors.select(key, vector), vector, block).withColumn("b", F.monotonically_increasing_id()))
+    left = blocks.select("matrix", "n", "b")
+    right = blocks.select(F.col("matrix").alias("r_matrix"), F.col("n").alias("r_n"), F.col("b").alias("r_b"))
+
+    def count(low: float, high: float, bins: int) -> DataFrame:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    s = _matrix(r.matrix, r.n) @ _matrix(r.r_matrix, r.r_n).T
+                    s = s[np.triu_indices(r.n, 1)] if r.b == r.r_b else s.ravel()
+                    s = np.clip(s[~np.isnan(s)], -1.0, 1.0)
+                    under, s = s[s < low], np.sort(s[(s >= low) & (s <= high)])
+                    at = np.minimum(bins - 1, ((s - low) / ((high - low) or 1.0) * bins).astype(np.int64))
+                    first = np.flatnonzero(np.diff(at, prepend=-1))
+                    size = np.diff(np.append(first, len(at)))
+                    out = pd.DataFrame({"bin": at[first], "n": size, "low": s[first], "high": s[first + size - 1]})
+                    yield pd.concat([out, pd.DataFrame({"bin": [-1], "n": [len(under)], "low": [under.min()], "high": [under.max()]})]) if len(under) else out
+
+        return left.crossJoin(right).filter("b <= r_b").mapInPandas(work, "bin long, n long, low double, high double")  # blocks with blocks
+
+    return vectors.sparkSession.createDataFrame([binned_median(count)], "n_pairs long, min_similarity double, median_similarity double")
+
+
+def group_similarities(groups: DataFrame, keys: list[str], ids: str, vectors: DataFrame, vector_id: str, vector: str, reference: list[float]) -> DataFrame:
+    """keys, similarities (in the order of the ids, NULL where there is no vector), n_missing and median_similarity of every group.
+
+    groups: keys and an array of ids of the clips that stand for the group, at most a handful each. Groups without any vector have
+    no median. Vectors are scored first, so only numbers are joined.
+    """
+    scored = vectors.select(F.col(vector_id).alias("__id"), dot(unit(F.col(vector)), F.array(*[F.lit(float(x)) for x in reference])).alias("s"))
+    clips = groups.select(*keys, F.posexplode_outer(ids).alias("at", "__id"))
+    parts = clips.join(scored, "__id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("x"), F.count_if(F.col("at").isNotNull() & F.col("s").isNull()).alias("n_missing"))
+    listed = parts.withColumn("similarities", F.transform(F.filter("x", lambda x: x["at"].isNotNull()), lambda x: x["s"]))
+    return listed.select(*keys, "similarities", "n_missing", array_median(F.col("similarities")).alias("median_similarity"))
 
 
 def array_median(values: Column) -> Column:
@@ -182,6 +253,12 @@ def clip_checks(scores: DataFrame, threshold: float = 0.49) -> DataFrame:
     return scores.select("channel", "file", "speaker", "median_similarity", F.size(F.filter(s, lambda x: x >= threshold)).alias("n_clips_above"), ((F.size(s) > 0) & (F.array_min(s) >= threshold)).alias("all_above"), F.size("segments").alias("n_segments"), status.alias("status"))
 
 
+def top_per(rows: DataFrame, key: str, score: str, ties: str, k: int = 3) -> DataFrame:
+    """The k best rows of every key with their place; a rank filter, which Spark applies before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).desc(), ties))
+    return rows.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     """Groups by falling median, those without one last, ties by their key."""
     return scores.orderBy(F.col("median_similarity").desc_nulls_last(), "channel", "file", "speaker")
@@ -193,11 +270,19 @@ def select_groups(scores: DataFrame, threshold: float, note: str) -> DataFrame:
     return scores.filter(F.col("median_similarity") >= threshold)
 
 
-def detections(scores: DataFrame, threshold: float, note: str) -> DataFrame:
+def unnamed(scores: DataFrame, threshold: float, note: str) -> DataFrame:
+    """channel, file, speaker of the selected groups whose recording has no name in the full form, and so no detection."""
+    return select_groups(scores, threshold, note).filter(V.video_identity(F.col("file"))[0].isNull()).select("channel", "file", "speaker")
+
+
+def detections(scores: DataFrame, threshold: float, note: str, strict: bool = False) -> DataFrame:
     """video, start_s, end_s: merged segments of the selected groups of every recording whose name has the full form.
 
-    Segments are merged as whole microseconds; touching ones join.
+    Segments are merged as whole microseconds; touching ones join. With ``strict`` a selected group whose name has another form
+    stops the run; else such groups are left out here and listed by ``unnamed``.
     """
+    if strict:
+        gate(unnamed(scores, threshold, note).limit(1).isEmpty(), "a selected group has no name in the full form")
     picked = select_groups(scores, threshold, note).withColumn("video", V.video_identity(F.col("file"))[0]).filter("video is not null")
     spans = picked.select("video", F.explode("segments").alias("x")).select("video", F.round(F.col("x")[0] * 1_000_000).cast("long").alias("start_us"), F.round(F.col("x")[1] * 1_000_000).cast("long").alias("end_us"))
     spans = spans.filter((F.col("start_us") >= 0) & (F.col("start_us") < F.col("end_us")))

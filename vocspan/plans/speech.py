@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocspan.functions import keys as K
@@ -293,19 +293,79 @@ def label_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median similarity per label with its place in falling order."""
     protos = speakers.mean_unit(_reference(spark, sf_dir).withColumn("name", F.lit("reference")), "v", ["name"])
     v = table(spark, sf_dir, "embeddings").select("label", speakers.unit(F.col("embedding")).alias("v"))
-    m = speakers.cosine_to(v, "v", protos, "name").groupBy("label").agg(F.percentile("similarity", 0.5).alias("m"))
-    return m.select("label", F.round("m", 6).alias("median_similarity"))
+    m = stats.quantiles(speakers.cosine_to(v, "v", protos, "name"), ["label"], "similarity", (0.5,))
+    return m.select("label", F.round("q1", 6).alias("median_similarity"))
 
 
-def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of every label under every variant of the reference."""
-    from pyspark.sql import Window
-
+def _stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     protos = speakers.leave_one_out(_reference(spark, sf_dir), "vec_id", "v")
     v = table(spark, sf_dir, "embeddings").select("label", speakers.unit(F.col("embedding")).alias("v"))
     m = speakers.cosine_to(v, "v", protos, "variant").groupBy("variant", "label").agg(F.percentile("similarity", 0.5).alias("m"))
+    return m
+
+
+def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every label under every variant of the reference."""
     place = F.row_number().over(Window.partitionBy("variant").orderBy(F.col("m").desc(), "label"))
-    return m.select("variant", "label", place.alias("place"), F.round("m", 6).alias("median_similarity"))
+    return _stability(spark, sf_dir).select("variant", "label", place.alias("place"), F.round("m", 6).alias("median_similarity"))
+
+
+def stability_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best labels of every variant."""
+    return speakers.top_per(_stability(spark, sf_dir), "variant", "m", "label").select("variant", "label", "place")
+
+
+def group_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of the clips that stand for every group to the reference, with their median; clips without a vector are counted."""
+    reference = speakers.mean_unit(_reference(spark, sf_dir).withColumn("name", F.lit("reference")), "v", ["name"]).first()
+    if reference is None:
+        raise ValueError("the reference has no vector")
+    g = speakers.group_similarities(table(spark, sf_dir, "group_scores"), ["channel", "file", "speaker"], "representative_rows", table(spark, sf_dir, "embeddings"), "vec_id", "embedding", reference["prototype"])
+    listed = F.array_join(F.transform("similarities", lambda x: F.coalesce(F.round(x, 5).cast("decimal(9,5)").cast("string"), F.lit("-"))), " ")
+    return g.select("channel", "file", "speaker", listed.alias("similarities"), "n_missing", F.round("median_similarity", 6).alias("median_similarity"))
+
+
+def unnamed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected groups whose recording has no name in the full form; the detections leave them out."""
+    return speakers.unnamed(table(spark, sf_dir, "group_scores"), THRESHOLD, NOTE)
+
+
+def detections_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with the title of their recording, in the order of the titles."""
+    spans, names = detections(spark, sf_dir), detected_titles(spark, sf_dir)
+    return spans.join(names, "video").select("title", "video", "start_s", "end_s").orderBy("title", "video", "start_s")
+
+
+def group_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred speaker groups by their keys, a feature of the retrieval."""
+    return journal.limited(speakers.speaker_groups(_segments(spark, sf_dir)), ["channel", "file", "speaker"], 100)
+
+
+def cache_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the cached clips of rows without a clip service."""
+    return table(spark, sf_dir, "tdk_subset").select("source_row", K.cache_name(F.col("audio"), F.lit("")).alias("cache_name"))
+
+
+def dataset_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-sensitive digest of the rows that were decoded, without what models add, and whether they are the whole set."""
+    derived = ("generated_text", "asr_duration_seconds", "asr_error", "generated_text_ft", "asr_error_ft", "source_row")
+    whole = _segments(spark, sf_dir).filter(F.col("channel") == HELD_OUT).count()
+    placed = shards.with_position(table(spark, sf_dir, "tdk_subset"), "source_row")
+    return K.identity(placed, "position", derived).withColumn("scope", journal.scope(F.col("n_rows"), whole))
+
+
+def shard_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of audio over the shards of the journal's last attempts: their sum, the least and the most."""
+    state = journal.latest(table(spark, sf_dir, "asr_journal"), "row_key", "seq")
+    per_shard = state.groupBy((F.col("seq") % SHARDS).alias("shard")).agg(F.sum("duration_seconds").alias("seconds"))
+    t = stats.worker_time(per_shard, "seconds")
+    return t.select("n", *[F.round(c, 4).alias(c) for c in ("total", "least", "most")])
+
+
+def rate_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts behind a density plot of words over seconds."""
+    f = quality.with_features(_segments(spark, sf_dir)).filter("valid")
+    return stats.hexagons(f.select("duration", F.col("word_count").cast("double").alias("words")), "duration", "words", 1.0, 2.0)
 
 
 def reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +397,7 @@ QUERIES = {
         holdout_positions, shard_rows, shard_all, shard_merge, row_keys, journal_state, journal_pending, journal_export, bottom_k, clip_pools, longest_clips, representatives, budget_sample, uniform_sample, group_segments,
         normal_forms, simple_forms, score_rows, score_corpus, simple_wer, simple_row_edits, simple_by_file, simple_slices, simple_outcomes, simple_examples,
         paired_by_file, paired_comparison, paired_slices, paired_outcomes, paired_examples, wer_bootstrap,
-        threshold_sweep, clip_checks, top_rejected, group_medians, detections, detected_titles, prototype, similarities, label_medians, stability, reference_pairs,
+        threshold_sweep, clip_checks, top_rejected, group_medians, detections, detected_titles, prototype, similarities, label_medians, stability, stability_top, reference_pairs, group_similarities, unnamed_groups, detections_by_title, group_limit, cache_names, dataset_identity, shard_times, rate_density,
         rate_histogram, score_histogram, rolling_median, event_quantiles,
     )
 }

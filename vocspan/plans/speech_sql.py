@@ -253,3 +253,22 @@ ORACLE |= {
         "wide AS (" + ORACLE["mismatch_counts"].split("SELECT count(*) AS n_rows", 1)[1].join(["SELECT count(*) AS n_rows", ")"]),
         "SELECT * FROM counted UNION ALL SELECT 'mismatch', key, n_rows, NULL, NULL FROM (UNPIVOT wide ON * INTO NAME key VALUE n_rows)"),
 }
+
+_FULL = "regexp_matches(file, '^\\d{8}--[A-Za-z0-9_-]{11}--[^\\n]+\\.TextGrid$')"
+ORACLE |= {
+    "stability_top": ORACLE["stability"].replace(", round(m, 6) AS median_similarity FROM med", " FROM med QUALIFY place <= 3"),
+    "group_similarities": _q(_EMB, _PROTO, "clips AS (SELECT channel, file, speaker, unnest(representative_rows) AS id, generate_subscripts(representative_rows, 1) AS pos FROM group_scores)",
+        "lists AS (SELECT channel, file, speaker, string_agg(coalesce(CAST(CAST(round(s, 5) AS DECIMAL(9,5)) AS VARCHAR), '-'), ' ' ORDER BY pos) AS l, count(*) - count(s) AS missing, median(s) AS m FROM clips LEFT JOIN sim ON id = vec_id GROUP BY ALL)",
+        "SELECT g.channel, g.file, g.speaker, coalesce(l, '') AS similarities, coalesce(missing, 0) AS n_missing, round(m, 6) AS median_similarity FROM group_scores g LEFT JOIN lists USING (channel, file, speaker)"),
+    "unnamed_groups": f"SELECT channel, file, speaker FROM group_scores WHERE median_similarity >= {THRESHOLD} AND NOT {_FULL}",
+    "detections_by_title": f"SELECT title, video, start_s, end_s FROM ({ORACLE['detections']}) JOIN ({ORACLE['detected_titles']}) USING (video)",
+    "group_limit": _q(_GROUPS, "SELECT DISTINCT channel, file, speaker FROM grp ORDER BY channel, file, speaker LIMIT 100"),
+    "cache_names": "SELECT source_row, sha256(coalesce(audio, '') || '|') || '.mp3' AS cache_name FROM tdk_subset",
+    # Two levels of 4096 are enough for 16 million rows.
+    "dataset_identity": _q(f"one AS (SELECT row_number() OVER (ORDER BY source_row) - 1 AS i, {_KEY} AS d FROM tdk_subset)", "two AS (SELECT i // 4096 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM one GROUP BY i // 4096)",
+        f"SELECT (SELECT count(*) FROM one) AS n_rows, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS digest, CASE WHEN (SELECT count(*) FROM one) = (SELECT count(*) FROM ycsep_static WHERE channel = '{HELD_OUT}') THEN 'full_tdk' ELSE 'subset' END AS scope FROM two"),
+    "shard_times": _q(_JOURNAL, "per AS (SELECT seq % 8 AS shard, sum(duration_seconds) AS s FROM state GROUP BY 1)", "SELECT count(s) AS n, round(sum(s), 4) AS total, round(min(s), 4) AS least, round(max(s), 4) AS most FROM per"),
+    "rate_density": _q(_BASE, "p AS (SELECT duration AS u, word_count / 4.0 AS v FROM feat WHERE valid)",
+        "c AS (SELECT floor(u) + 0.5 AS p, floor(v) + 0.5 AS q, round(u) AS ra, round(v) AS rb, u, v FROM p)",
+        "SELECT CASE WHEN near THEN ra ELSE p END AS cx, CASE WHEN near THEN rb ELSE q END * 4 AS cy, count(*) AS n FROM (SELECT *, (u - ra) ** 2 + 3 * (v - rb) ** 2 < (u - p) ** 2 + 3 * (v - q) ** 2 AS near FROM c) GROUP BY ALL"),
+}

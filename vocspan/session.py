@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Files of a checkpoint are removed once nothing refers to it any more.
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in spark.checkpoint.dir; only where none is named (local tests) take a temporary one."""
     sc = spark.sparkContext
@@ -16,6 +20,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vocspan-ckpt-"))
+    if sc.getConf().get(_CLEAN) is None:  # read by Spark whenever something is checkpointed
+        sc._jsc.sc().conf().set(_CLEAN, "true")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import os
 import tarfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocspan.functions.keys import is_cache_name
+from vocspan.session import cut
 
 MAX_BYTES = 64 * 1024 * 1024
 _MEMBER = "archive string, name string, regular boolean, bytes long, payload binary, complete boolean"
@@ -70,20 +74,16 @@ def write_archives(clips: DataFrame, folder: str, parts: int, open_file: Callabl
     """Write clips (row_key, cache_name, source, error, payload) as ``parts`` archives with manifests; returns the manifest.
 
     A task writes to names of its own attempt and renames at the end, so a lost executor leaves no half archive under a final name.
+    It stops the run as soon as hopeless() holds for its part, and at the end if every one of its clips has failed.
     """
-    import os
-
     os.makedirs(folder, exist_ok=True)
     kinds = "row_key string, cache_name string, source string, error string, bytes long, sha256 string, part int"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        from pyspark import TaskContext
-
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         stem = f"{folder}/audio-{part:05d}"
         seen: set[str] = set()
+        done = failed = 0
         with open_file(f"{stem}.tar.{attempt}", "wb") as raw, open_file(f"{stem}.jsonl.{attempt}", "w") as lines:
             with tarfile.open(fileobj=raw, mode="w|") as tar:
                 for pdf in batches:
@@ -100,18 +100,59 @@ def write_archives(clips: DataFrame, folder: str, parts: int, open_file: Callabl
                                 seen.add(r["cache_name"])
                         lines.write(json.dumps(row, ensure_ascii=False) + "\n")
                         out.append(row | {"part": part})
+                        done, failed = done + 1, failed + bool(r["error"] or data is None)
+                        if hopeless(done, failed):
+                            raise ValueError(f"{failed} of {done} clips failed")
                     if out:
                         yield pd.DataFrame(out).astype({"bytes": "Int64"})
+        if done and failed == done:
+            raise ValueError("every clip failed")
         os.replace(f"{stem}.tar.{attempt}", f"{stem}.tar")
         os.replace(f"{stem}.jsonl.{attempt}", f"{stem}.jsonl")
 
     done = clips.select("row_key", "cache_name", "source", "error", "payload").repartition(parts, "cache_name").mapInPandas(write, kinds)
-    from vocspan.session import cut
-
     return cut(done)
 
 
+def hopeless(done: int, failed: int, least: int = 64, share: float = 0.9) -> bool:
+    """At least ``least`` done and more than ``share`` of them failed."""
+    return done >= least and failed > share * done
+
+
 def too_many_failures(manifest: DataFrame, least: int = 64, share: float = 0.9) -> bool:
     """At least ``least`` done and more than ``share`` of them failed, or all failed."""
     r = manifest.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("bad")).first()
-    return r["n"] > 0 and (r["bad"] == r["n"] or (r["n"] >= least and r["bad"] > share * r["n"]))
+    return r["n"] > 0 and (r["bad"] == r["n"] or hopeless(r["n"], r["bad"], least, share))
+
+
+# What a training archive may hold, and the bounds of a clip in it.
+TRAINING_FILES, TRAINING_AUDIO = ("train.jsonl", "validation.jsonl"), r"^audio/[^/]+\.wav$"
+CLIP_SECONDS = (0.2, 20.2)
+
+
+def training_members(members: DataFrame, sha256: str | None = None, archive_sha256: str | None = None) -> DataFrame:
+    """members of a training archive; an entry that is not a manifest or a clip, not a regular file or not whole is an error.
+
+    With both digests they must be equal, see tables.file_digests.
+    """
+    if sha256 is not None and sha256 != archive_sha256:
+        raise ValueError("the archive is not the one of the manifest")
+    known = F.col("name").isin(*TRAINING_FILES) | F.col("name").rlike(TRAINING_AUDIO)
+    bad = members.filter(~known | ~F.col("regular") | ~F.col("complete")).select("name").limit(1).collect()
+    if bad:
+        raise ValueError(f"unexpected entry {bad[0][0]}")
+    return members
+
+
+def check_manifest(manifest: DataFrame, label: str, audio: DataFrame | None = None) -> DataFrame:
+    """manifest (audio_filepath, duration, text, split), or an error: a duration outside 0.2 to 20.2 s, another split, a clip that is not in ``audio`` (name)."""
+    low, high = CLIP_SECONDS
+    fault = F.when(~F.coalesce(F.col("duration").between(low, high), F.lit(False)), F.lit("duration")).when(~F.col("split").eqNullSafe(label), F.lit("split"))
+    checked = manifest.withColumn("__fault", fault)
+    if audio is not None:
+        there = audio.select(F.col("name").alias("audio_filepath")).distinct().withColumn("__there", F.lit(True))
+        checked = checked.join(there, "audio_filepath", "left").withColumn("__fault", F.coalesce("__fault", F.when(F.col("__there").isNull(), F.lit("audio")))).drop("__there")
+    bad = checked.filter("__fault is not null").select("__fault", "audio_filepath").limit(1).collect()
+    if bad:
+        raise ValueError(f"manifest entry {bad[0][1]}: {bad[0][0]}")
+    return manifest

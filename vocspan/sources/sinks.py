@@ -7,10 +7,12 @@ import os
 import shutil
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspan.operators.journal import upsert
+from vocspan.session import cut
 
 
 def _publish(df_writer, folder: str, target: str, suffix: str) -> None:  # noqa: ANN001
@@ -77,22 +79,63 @@ def summary_text(report: dict) -> str:
     return "\n".join(f"{k}: {v}" for k, v in report.items()) + "\n"
 
 
-def upsert_table(news: DataFrame, folder: str, key: str, order: str) -> None:
-    """Keyed table in a folder: the last version of each key. A new generation is written beside the old one and then named as current."""
+def append_progress(record: dict, target: str) -> None:
+    """One line of JSON at the end of a file, complete or not at all."""
+    line = json.dumps(record, ensure_ascii=False) + "\n"
+    with open(target, "ab", buffering=0) as out:
+        out.write(line.encode())
+        os.fsync(out.fileno())
+
+
+def write_npz(arrays: dict[str, np.ndarray], target: str) -> None:
+    """A NumPy archive of named arrays, without pickled content, put in place at once."""
+    if any(np.asarray(a).dtype.hasobject for a in arrays.values()):
+        raise ValueError("arrays of objects would need pickle")
+    temporary = f"{target}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as out:
+        np.savez(out, **arrays)
+    os.replace(temporary, target)
+
+
+BUCKETS = 64
+
+
+def _current(folder: str) -> dict:
+    """The generation of every bucket, and generations that the version before it still names."""
+    pointer = f"{folder}/CURRENT"
+    if not os.path.exists(pointer):
+        return {"buckets": {}, "before": []}
+    with open(pointer) as f:
+        return json.load(f)
+
+
+def upsert_table(news: DataFrame, folder: str, key: str, order: str, buckets: int = BUCKETS) -> None:
+    """Keyed table in a folder: the last version of each key.
+
+    Keys are spread over buckets by hash, and only the buckets that have news are written again, as a new generation; a pointer file
+    then names the generation of every bucket at once. What the version before it named stays until the next upsert, for readers
+    that have just begun.
+    """
     spark = news.sparkSession
     os.makedirs(folder, exist_ok=True)
-    pointer = f"{folder}/CURRENT"
-    old = open(pointer).read().strip() if os.path.exists(pointer) else None
-    table = upsert(spark.read.parquet(f"{folder}/{old}"), news, key, order) if old else upsert(news.limit(0), news, key, order)
+    now = _current(folder)
+    count = now.get("count", buckets)
+    news = cut(news.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(count))))
+    touched = sorted(r[0] for r in news.select("__bucket").distinct().collect())
+    old = [f"{folder}/{now['buckets'][str(b)]}/__bucket={b}" for b in touched if str(b) in now["buckets"]]
+    names = [c for c in news.columns if c != "__bucket"]
+    before = spark.read.parquet(*old).select(*names) if old else news.limit(0).select(*names)
+    merged = upsert(before, news.select(*names), key, order).select(*names).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(count)))
     new = f"v-{uuid.uuid4().hex}"
-    table.write.parquet(f"{folder}/{new}")
+    merged.repartition(max(1, len(touched)), "__bucket").write.partitionBy("__bucket").parquet(f"{folder}/{new}")
+    after = now["buckets"] | {str(b): new for b in touched}
+    pointer = f"{folder}/CURRENT"
     with open(f"{pointer}.{new}", "w") as out:
-        out.write(new)
+        json.dump({"count": count, "buckets": after, "before": sorted(set(now["buckets"].values()))}, out)
     os.replace(f"{pointer}.{new}", pointer)
-    if old:
-        shutil.rmtree(f"{folder}/{old}", ignore_errors=True)
+    for stale in set(now["before"]) - set(after.values()) - set(now["buckets"].values()):
+        shutil.rmtree(f"{folder}/{stale}", ignore_errors=True)
 
 
 def read_table(spark, folder: str) -> DataFrame:  # noqa: ANN001
-    with open(f"{folder}/CURRENT") as pointer:
-        return spark.read.parquet(f"{folder}/{pointer.read().strip()}")
+    return spark.read.parquet(*[f"{folder}/{g}/__bucket={b}" for b, g in sorted(_current(folder)["buckets"].items())])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import sqlite3
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -130,6 +132,26 @@ def vector_of_blob(blob: Column) -> Column:
     return decode(blob)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def read_document(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """One row per file that holds one JSON object over many lines; a damaged file is an error."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
+def file_digests(spark: SparkSession, path: str, block: int = 1 << 22) -> DataFrame:
+    """path, bytes, sha256 of files. Only names and lengths are listed by Spark; a task reads its files block by block, so files may be
+    larger than memory. Paths are local or on a mounted folder."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = []
+            for p in pdf["path"]:
+                h = hashlib.sha256()
+                with open(unquote(urlparse(p).path), "rb") as f:
+                    while data := f.read(block):
+                        h.update(data)
+                sums.append(h.hexdigest())
+            yield pdf.assign(sha256=sums)
+
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    return listed.mapInPandas(digest, "path string, bytes long, sha256 string")

@@ -47,8 +47,8 @@ def parse_header(data: bytes) -> Header:
 
 
 def frame_range(start: Column, end: Column, rate: Column, frames: Column) -> tuple[Column, Column]:
-    """First frame and the frame after the last of a clip; NULL when it ends too far after the recording."""
-    good = end <= frames / rate + TOLERANCE
+    """First frame and the frame after the last of a clip; NULL when it starts before the recording or ends too far after it."""
+    good = (start >= 0) & (start < end) & (end <= frames / rate + TOLERANCE)
     return F.when(good, F.floor(start * rate)), F.when(good, F.least(F.ceil(end * rate), frames))
 
 
@@ -66,6 +66,8 @@ class ClipReader:
         return data
 
     def clip(self, name: str, start: float, end: float) -> bytes:
+        if not (0 <= start < end):
+            raise ValueError("a clip needs 0 <= start < end")
         h = self.header(name)
         if end > h.frames / h.rate + TOLERANCE:
             raise ValueError("the clip ends after the recording")
