@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,17 +61,34 @@ SUFFIX = re.compile(r"(?:tion|sion|ity|ism|ist|ment|ance|ence|ology|ical|ative|u
 GRADE_BINS = np.array([1.4, 1.8, 2.2, 2.5, 2.8, 3.1, 3.4, 3.7, 4.0, 4.3, 4.6])
 
 
+#: Word lists whose share of a text is a feature or tells its language.
+GROUPS = (SUBORDINATE, CONNECTIVE, PRONOUN, ENGLISH, *OTHERS)
+
+
 @lru_cache(maxsize=200_000)
-def _word_facts(word: str) -> tuple[int, int, bool, bool]:
-    """Signed hash, syllables, learned suffix, ASCII."""
+def _word_facts(word: str) -> tuple[int, int, bool, bool, tuple[int, ...]]:
+    """Signed hash, syllables, learned suffix, ASCII, numbers of the GROUPS it is in."""
     h = xxhash.xxh64_intdigest(word)
-    return (h - (1 << 64) if h >> 63 else h), len(_VOWELS.findall(word)), len(word) > 6 and bool(SUFFIX.search(word)), word.isascii()
+    return (h - (1 << 64) if h >> 63 else h), len(_VOWELS.findall(word)), len(word) > 6 and bool(SUFFIX.search(word)), word.isascii(), tuple(i for i, g in enumerate(GROUPS) if word in g)
 
 
 def _quantiles(ordered: list[int], at: tuple[float, ...]) -> list[int]:
     return [ordered[min(len(ordered) - 1, int(q * len(ordered)))] for q in at]
 
 
+def _counted_quantiles(tally: list[tuple[int, int]], total: int, at: tuple[float, ...]) -> list[int]:
+    """Quantiles of values given in order with their counts; at is in order as well."""
+    out, seen, values = [], 0, iter(tally)
+    size, many = next(values)
+    for q in at:
+        place = min(total - 1, int(q * total))
+        while seen + many <= place:
+            seen += many
+            size, many = next(values)
+        out.append(size)
+    return out
+
+
 def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
     """(features, word hashes, word counts, English or not) of a whole text."""
     text = canonical(text)
@@ -81,32 +97,38 @@ def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
     n = len(words)
     counts = Counter(words)
     sentences = [v for v in map(str.split, _SENTENCE.split(low)) if v]
-    sizes = sorted(map(len, words)) or [0]
+    sizes = sorted(Counter(map(len, words)).items()) or [(0, 1)]
     spans = sorted(map(len, sentences)) or [0]
     heads = [{w for w in v if len(w) > 3} for v in sentences]
     shared = sum(len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(heads, heads[1:]))
-    per, k = max(n, 1), len(sizes)
-    mean = sum(sizes) / k
-    longer = lambda m: (k - bisect_left(sizes, m)) / k
+    per = max(n, 1)
+    letters = sum(x * c for x, c in sizes)
+    mean = letters / per
+    longer = lambda m: sum(c for x, c in sizes if x >= m) / per
     facts = [_word_facts(w) for w in counts]
     each = list(counts.values())
     syllables = suffixes = many = latin = 0
-    for (_, syl, suf, plain), c in zip(facts, each, strict=True):
+    hits = [0] * len(GROUPS)
+    for (_, syl, suf, plain, groups), c in zip(facts, each, strict=True):
         syllables += syl * c
-        many += c if syl >= 4 else 0
-        suffixes += c if suf else 0
-        latin += c if plain else 0
-    hit = lambda group: sum(counts[w] for w in group & counts.keys()) / per
+        if syl >= 4:
+            many += c
+        if suf:
+            suffixes += c
+        if plain:
+            latin += c
+        for g in groups:
+            hits[g] += c
     span_mean = sum(spans) / len(spans)
-    en = hit(ENGLISH)
+    en = hits[3] / per
     features = [
-        math.log1p(n), *_quantiles(sizes, (0.25, 0.5, 0.75, 0.9)), mean, math.sqrt(max(0.0, sum(x * x for x in sizes) / k - mean * mean)), longer(7), longer(10), longer(13),
+        math.log1p(n), *_counted_quantiles(sizes, per, (0.25, 0.5, 0.75, 0.9)), mean, math.sqrt(max(0.0, sum(x * x * c for x, c in sizes) / per - mean * mean)), longer(7), longer(10), longer(13),
         syllables / per, many / per, len(counts) / math.sqrt(2 * per), suffixes / per,
         math.log1p(span_mean), math.sqrt(max(0.0, sum(x * x for x in spans) / len(spans) - span_mean**2)), math.log1p(spans[-1]), *map(math.log1p, _quantiles(spans, (0.25, 0.75))),
         text.count(",") / per, (text.count(";") + text.count(":")) / per, (text.count("!") + text.count("?")) / per,
-        hit(SUBORDINATE), hit(CONNECTIVE), hit(PRONOUN), en, len(_DIGIT.findall(text)) / per, shared / max(1, len(heads) - 1),
+        hits[0] / per, hits[1] / per, hits[2] / per, en, len(_DIGIT.findall(text)) / per, shared / max(1, len(heads) - 1),
     ]
-    english = bool(n) and latin / per > 0.5 and en >= MIN_ENGLISH and en > max(map(hit, OTHERS)) and (text.isascii() or len(_HAN.findall(text)) < 0.2 * sum(sizes))
+    english = bool(n) and latin / per > 0.5 and en >= MIN_ENGLISH and hits[3] > max(hits[4:]) and (text.isascii() or len(_HAN.findall(text)) < 0.2 * letters)
     return features, np.array([f[0] for f in facts], np.int64), np.array(each, np.int64), english
 
 
