@@ -28,9 +28,9 @@ def entity_key(keys: list[str]) -> Column:
     return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
-def _named(edges: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+def _named(edges: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """edges with the key columns in place of the entity."""
-    names = intervals.select(entity_key(keys).alias("__entity"), *keys).distinct()
+    names = known.select(*keys).distinct().select(entity_key(keys).alias("__entity"), *keys)
     return edges.join(names, F.col("entity") == F.col("__entity")).select(*keys, *[c for c in edges.columns if c != "entity"])
 
 
@@ -72,9 +72,11 @@ def ranked_boundaries(intervals: DataFrame, keys: list[str], start: str = "start
     return paired.filter(first | between | (F.col("rank") == F.col("size"))).select("entity", *_EDGE)
 
 
-def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", block_ms: int = BLOCK_MS) -> DataFrame:
+def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", block_ms: int = BLOCK_MS, names: DataFrame | None = None) -> DataFrame:
     """Merged periods and the gaps between them: keys, kind (period or gap), start_ms, end_ms, rows, identical.
 
+    names: the keys of all entities (more do no harm), where they are cheaper to get than from the intervals.
+
     ``rows`` counts a period's rows; ``identical`` is true when all of them have the same start and end; both are NULL for gaps.
     Touching intervals join. Empty input gives no rows; columns other than the keys and times are ignored.
     """
@@ -98,4 +100,4 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_
         F.col("open_ms").isNotNull() & F.col("close_ms").isNotNull(),
         F.struct(F.lit("gap").alias("kind"), F.col("close_ms").alias("start_ms"), F.col("open_ms").alias("end_ms"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("boolean").alias("identical")),
     )
-    return _named(linked.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("x")).select("entity", "x.*"), intervals, keys)
+    return _named(linked.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("x")).select("entity", "x.*"), intervals if names is None else names, keys)

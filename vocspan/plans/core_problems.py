@@ -23,7 +23,9 @@ def speech_intervals(rows: DataFrame) -> DataFrame:
 
 def p4_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every period and gap per file and speaker."""
-    return periods_and_gaps(speech_intervals(table(spark, sf_dir, "ycsep_static")), ["file", "speaker"])
+    rows = table(spark, sf_dir, "ycsep_static")
+    names = rows.select("file", "speaker").distinct().select("file", clean_speaker(F.col("speaker")).alias("speaker"))
+    return periods_and_gaps(speech_intervals(rows), ["file", "speaker"], names=names)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
