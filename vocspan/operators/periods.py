@@ -23,9 +23,9 @@ def _block(ms: Column, block_ms: int) -> Column:
 
 
 def entity_key(keys: list[str]) -> Column:
-    """128-bit hash of the key columns, with NULLs and the borders between columns in it. Long names are not carried through shuffles."""
-    parts = [F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in keys]
-    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+    """Two 64-bit hashes of the key columns and of which of them are NULL. Long names are not carried through shuffles."""
+    parts = [c for k in keys for c in (F.col(k), F.col(k).isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def _named(edges: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
