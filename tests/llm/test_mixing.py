@@ -51,3 +51,17 @@ def test_nothing_to_mix(spark):
     mixture, shares = M.mix(docs, targets)
     assert mixture.count() == 0 and shares.count() == 2
     assert M.mix(docs.limit(0), targets)[0].count() == 0
+
+
+def test_copies_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(M, "COPIES", 7)
+    docs = spark.createDataFrame([(1, " house" * 5, "a")] * 500 + [(i, " house" * 5, "a") for i in range(2, 502)] + [(i, " tree" * 3, "b") for i in range(600, 900)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 5)], "source string, target_weight double, max_repeats int")
+    mixture, shares = M.mix(docs, targets)
+    rows = mixture.filter("source = 'a'").collect()
+    assert len(rows) == len({r["virtual_finish"] for r in rows}) and abs(len(rows) - min(1000, 5 * 300 * 3 / 5)) <= 1
+    one = [r for r in rows if r["doc_id"] == 1]
+    assert len(one) in range(380, 501) and {r["n_tokens"] for r in one} == {5}
+    assert all(abs(r["actual_share"] - 0.5) < 0.002 for r in shares.collect())
+    whole, _ = M.mix(docs, targets, budget=10**9)
+    assert whole.filter("doc_id = 1").count() == 500 and whole.filter("source = 'b'").count() == 1500

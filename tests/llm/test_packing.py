@@ -50,3 +50,10 @@ def test_tokens_round_trip():
     text = "Héllo, wörld 你好! " * 50
     enc = encoding()
     assert enc.decode(enc.encode_ordinary(text)) == text
+
+
+def test_copies_and_rows_without_a_key_are_spread(spark):
+    docs = spark.createDataFrame([(7, " house" * 10)] * 400 + [(None, " house" * 10)] * 400, "doc_id long, text string")
+    packed = P.pack(docs, 100, shard_items=100)
+    assert packed.count() == 800 and packed.select((F.col("container") / (1 << 32)).cast("long")).distinct().count() >= 6
+    assert packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).filter("n > 100").count() == 0

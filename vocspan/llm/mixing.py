@@ -16,6 +16,8 @@ from vocspan.llm.tokens import VOCABULARY, token_count
 from vocspan.session import cut
 
 SLOTS = 4096
+#: Copies of one document that are laid out at once.
+COPIES = 10_000
 
 
 def virtual_end(totals: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: float | None = None) -> float:
@@ -57,9 +59,10 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, pat
     spark = documents.sparkSession
     named = documents.filter(F.col("source").isin(list(weights)) & F.col("text").isNotNull())
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sized = cut(named.select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"), h.alias("h")))
-    sized = sized.withColumn("slot", F.pmod(F.shiftright("h", 52), F.lit(SLOTS)))
-    slots = sized.groupBy("source", "slot").agg(F.sum("n_tokens").alias("t"))
+    # Repeated rows are one row with a number from here on, so copies of one document are no hot slot.
+    sized = named.select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"), h.alias("h")).groupBy("doc_id", "source", "n_tokens", "h").agg(F.count(F.lit(1)).alias("copies"))
+    sized = cut(sized).withColumn("slot", F.pmod(F.shiftright("h", 52), F.lit(SLOTS)))
+    slots = sized.groupBy("source", "slot").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"))
     totals = {r["source"]: r["t"] for r in slots.groupBy("source").agg(F.sum("t").alias("t")).collect()}
     end = virtual_end(totals, weights, repeats, budget)
     plan = [(s, float(weights[s]), int(totals.get(s, 0)), int(repeats[s])) for s in sorted(weights)]
@@ -67,8 +70,11 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, pat
     over = Window.partitionBy("source").orderBy("slot")
     before = slots.withColumn("before", F.sum("t").over(over) - F.col("t")).drop("t")
     inside = Window.partitionBy("source", "slot").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "slot"]).join(F.broadcast(small.filter("w > 0 and total > 0 and r > 0")), "source")
-    placed = placed.withColumn("upto", F.col("upto") + F.col("before"))
+    placed = sized.withColumn("upto", F.sum(F.col("n_tokens") * F.col("copies")).over(inside)).join(before, ["source", "slot"]).join(F.broadcast(small.filter("w > 0 and total > 0 and r > 0")), "source")
+    placed = placed.withColumn("upto", F.col("upto") + F.col("before") - F.col("n_tokens") * F.col("copies"))
+    # Copies are laid out again in two steps, so that no row holds an array of all of them.
+    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).withColumn("copy", F.explode(F.sequence(F.col("k") * COPIES, F.least((F.col("k") + 1) * COPIES, F.col("copies")) - 1)))
+    placed = placed.withColumn("upto", F.col("upto") + (F.col("copy") + 1) * F.col("n_tokens"))
     passes = F.least(F.col("r"), (F.floor(F.lit(end) * F.col("w") / F.col("total")) + 1).cast("int"))
     each = placed.withColumn("pass_no", F.explode(F.when(passes >= 1, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))))
     finish = ((F.col("pass_no") - 1) * F.col("total") + F.col("upto")) / F.col("w")

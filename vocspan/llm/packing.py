@@ -105,7 +105,8 @@ def pack(documents: DataFrame, capacity: int, key: str = "doc_id", text: str = "
         return pdf.assign(container=(pdf["shard"].to_numpy().astype("int64") << 32) + numbers).drop(columns="shard")
 
     schema = f"`{key}` {kind}, piece int, n_pieces int, token_from long, token_to long, n_tokens long, container long"
-    return items.withColumn("shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards))).groupBy("shard").applyInPandas(fill, schema)
+    # The row's place in the written table is part of the hash: repeated rows and rows without a key are spread as well.
+    return items.withColumn("shard", F.pmod(F.xxhash64(key, "piece", F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInPandas(fill, schema)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
