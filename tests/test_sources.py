@@ -292,6 +292,13 @@ def test_seams(spark):
     assert {tuple(r) for r in titles.collect()} == {("v1", "T1", "service"), ("v2", "T2", "service"), ("v3", "f3", "file name")}
 
 
+def test_embeddings_are_checked(spark):
+    df = spark.createDataFrame([(i, i) for i in range(6)], "k int, s int").coalesce(1)
+    vectors = [[1.0, 2.0], [1.0], [float("nan"), 1.0], [0.0, 0.0], None, [float("inf"), 0.0]]
+    got = {r["k"]: (r["vector"], r["error"]) for r in seams.embed(df, "k", "s", lambda ks: [vectors[k] for k in ks], dimensions=2, size=4).collect()}
+    assert got == {0: ([1.0, 2.0], "")} | {k: (None, "InvalidEmbedding") for k in range(1, 6)}
+
+
 def test_streamed_journal(spark, tmp_path):
     folder, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "checkpoint"))
     batch = lambda rows: spark.createDataFrame(rows, journal_stream.ATTEMPTS).coalesce(1).write.mode("append").parquet(folder)

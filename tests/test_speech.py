@@ -289,6 +289,8 @@ def test_unnamed_recordings_are_seen(spark):
     assert [tuple(r) for r in speakers.detections(df, 0.5, "n").collect()] == [("abcdefghijk", 0.0, 2.0)]
     with pytest.raises(ValueError):
         speakers.detections(df, 0.5, "n", strict=True)
+    known = spark.createDataFrame([("abcdefghijk", "Resolved"), ("zzzzzzzzzzz", "Z")], "video string, title string")
+    assert [tuple(r) for r in speakers.titles(df, 0.5, "n", known).collect()] == [("abcdefghijk", "Resolved")] and [tuple(r) for r in speakers.titles(df, 0.5, "n", known.limit(0)).collect()] == [("abcdefghijk", "t")]
     top = spark.createDataFrame([("v", i, float(i % 3)) for i in range(6)], "variant string, label int, m double")
     assert {(r["label"], r["place"]) for r in speakers.top_per(top, "variant", "m", "label").collect()} == {(2, 1), (5, 2), (1, 3)}
 

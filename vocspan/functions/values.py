@@ -36,6 +36,7 @@ def video_key(file: Column) -> Column:
 
 def video_identity(file: Column) -> tuple[Column, Column]:
     """(id, title) of a name in the full form, NULL otherwise."""
+    # Fixed value: the full form of a name.
     form = r"^\p{Nd}{8}--([A-Za-z0-9_-]{11})--([^\n]+)\.TextGrid$"
     good = file.rlike(form)
     return F.when(good, F.regexp_extract(file, form, 1)), F.when(good, F.regexp_extract(file, form, 2))

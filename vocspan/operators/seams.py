@@ -77,6 +77,15 @@ def map_batches(rows: DataFrame, key: str, value: str, model: Callable[[list], l
     return rows.select(key, value).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, result {kind}, error string")
 
 
+def embed(rows: DataFrame, key: str, samples: str, model: Callable[[list], list], dimensions: int = 512, size: int = 8, setup: Callable[[], None] | None = None) -> DataFrame:
+    """key, vector, error of a batch model of sounds; a vector of another length, or one that is not finite or has no direction, is an error."""
+    got = map_batches(rows, key, samples, model, "array<double>", size, setup)
+    v = F.col("result")
+    fine = (F.size(v) == dimensions) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    error = F.when(F.col("error") != "", F.col("error")).when(F.coalesce(fine, F.lit(False)), F.lit("")).otherwise(F.lit("InvalidEmbedding"))
+    return got.select(key, F.when(error == "", v).alias("vector"), error.alias("error"))
+
+
 def first_source(rows: DataFrame, key: str, fetchers: dict[str, Callable[[dict], bytes | None]], limit: int = 64 * 1024 * 1024) -> DataFrame:
     """key, payload, source, error: the bytes of the first fetcher that gives any; empty and oversized ones are refused.
 
