@@ -82,7 +82,8 @@ def greedy_budget(ranked: DataFrame, hours: float, seed: int = 2026) -> DataFram
     if hours <= 0:
         raise ValueError("hours must be positive")
     visit = ranked.select("channel", "video", "rank", "source_row", "duration").withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}/"), F.col("video")), 256))
-    channels = max(1, ranked.select("channel").distinct().count())
+    visit = cut(visit)  # at most k rows a video, read for the number of channels and for the fold
+    channels = max(1, visit.select("channel").distinct().count())
     target = hours * 3600 / channels
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -149,7 +149,7 @@ def cluster_bootstrap(files: DataFrame, draws: int = 2000, seed: int = 2026, per
     if draws < 100:
         raise ValueError("the number of draws must be 100 or more")
     measures = ["base_word_edits", "ft_word_edits", "reference_words"]
-    placed = with_position(files.select("first_row", *measures), "first_row")
+    placed = with_position(cut(files.select("first_row", *measures)), "first_row")  # ranges read their input twice
     packed = placed.groupBy(F.floor(F.col("position") / per_range).alias("range")).agg(F.array_sort(F.collect_list(F.struct("position", *measures))).alias("x"), F.count(F.lit(1)).alias("n"))
     packed = cut(packed.select("range", "n", *[F.col("x")[c].cast("array<long>").alias(c) for c in measures]))
     n = packed.agg(F.sum("n")).first()[0] or 0

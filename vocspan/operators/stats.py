@@ -58,7 +58,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...]
     """
     known = df.select(*keys, F.col(value).alias("__v")).filter("__v is not null and not isnan(__v)")
     placed = with_group_position(known, keys, ["__v"], "__at")
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
     exact = [F.lit(float(q)) * (F.col("__n") - 1) for q in at]
     ends = F.array(*[f(e).cast("long") for e in exact for f in (F.floor, F.ceil)])

@@ -9,7 +9,7 @@ from vocspan.functions import keys as K
 from vocspan.functions import text as T
 from vocspan.functions import values as V
 from vocspan.operators import intervals, journal, quality, sampling, scoring, shards, speakers, stats
-from vocspan.session import table
+from vocspan.session import cut, table
 
 HELD_OUT = "Teh_Dua_Kosong"
 THRESHOLD, NOTE = 0.49, "between the medians of the reference speaker and of all others"
@@ -293,7 +293,7 @@ def label_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median similarity per label with its place in falling order."""
     protos = speakers.mean_unit(_reference(spark, sf_dir).withColumn("name", F.lit("reference")), "v", ["name"])
     v = table(spark, sf_dir, "embeddings").select("label", speakers.unit(F.col("embedding")).alias("v"))
-    m = stats.quantiles(speakers.cosine_to(v, "v", protos, "name"), ["label"], "similarity", (0.5,))
+    m = stats.quantiles(cut(speakers.cosine_to(v, "v", protos, "name").select("label", "similarity")), ["label"], "similarity", (0.5,))
     return m.select("label", F.round("q1", 6).alias("median_similarity"))
 
 
