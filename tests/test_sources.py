@@ -30,6 +30,14 @@ def test_csv_round_trip(spark, tmp_path):
         tables.read_segments(spark, str(out))
 
 
+def test_csv_keeps_blanks_and_line_breaks(spark, tmp_path):
+    values = ["  two before", "two after  ", " ", "tab\t", "a\r\nb\nc", '"', '","', "\\", "", None, "é 你好"]
+    df = spark.createDataFrame([(i, *[v] * 7) for i, v in enumerate(values)], "source_row long, " + ", ".join(f"{c} string" for c in tables.REQUIRED))
+    sinks.write_csv(df, str(tmp_path / "o.csv"), "source_row", list(tables.REQUIRED), [])
+    got = tables.read_segments(spark, str(tmp_path / "o.csv")).orderBy("source_row").collect()
+    assert [r["text"] for r in got] == [v or "" for v in values]
+
+
 def test_json_lines(spark, tmp_path):
     good = tmp_path / "a.jsonl"
     good.write_text('{"k": "é", "n": 1}\n\n{"k": "b", "n": null}\n')

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc._jsc.sc().conf().set(_CLEAN, "true")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, for tables and files that a query writes and reads again. It must be a mounted one."""
+    ensure_checkpoint_dir(spark)
+    base = urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    if base.scheme not in ("", "file"):
+        raise ValueError("files need a checkpoint folder that is mounted on all executors")
+    folder = f"{unquote(base.path)}/scratch-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder: it is computed once and survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

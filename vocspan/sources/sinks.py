@@ -32,7 +32,7 @@ def write_csv(df: DataFrame, target: str, order: str, base: list[str], extra: li
     """One CSV file in the given order: base columns, then extra ones without repeats; NULL becomes empty. For results that fit one file."""
     names = [*base, *[c for c in extra if c not in base]]
     one = df.orderBy(order).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names]).coalesce(1)
-    _publish(lambda folder: one.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(folder), "", target, ".csv")
+    _publish(lambda folder: one.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder), "", target, ".csv")
 
 
 def write_jsonl(df: DataFrame, folder: str) -> None:
