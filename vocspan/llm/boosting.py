@@ -25,16 +25,19 @@ class Boosted:
         guess = np.full(n, self.base)
         span = self.bins
         spread, rows = binned + np.arange(width) * span, np.arange(n)
+        first_flat = spread.ravel()
+        first_size = np.bincount(first_flat, minlength=width * span).reshape(1, width, span).astype(float)
         for _ in range(self.rounds):
             rest = y - guess
             nodes = 2**self.depth
             feature, cut, value = np.zeros(nodes, np.int64), np.full(nodes, span, np.int64), np.zeros(nodes)
             where = np.ones(n, np.int64)
+            weights = np.repeat(rest, width)
             for level in range(self.depth):
                 first, many = 2**level, 2**level
-                flat = (((where - first) * (width * span))[:, None] + spread).ravel()
-                size = np.bincount(flat, minlength=many * width * span).reshape(many, width, span).astype(float)
-                total = np.bincount(flat, weights=np.repeat(rest, width), minlength=many * width * span).reshape(many, width, span)
+                flat = (((where - first) * (width * span))[:, None] + spread).ravel() if level else first_flat
+                size = np.bincount(flat, minlength=many * width * span).reshape(many, width, span).astype(float) if level else first_size
+                total = np.bincount(flat, weights=weights, minlength=many * width * span).reshape(many, width, span)
                 all_n, all_s = size[:, :1].sum(axis=2, keepdims=True), total[:, :1].sum(axis=2, keepdims=True)
                 size, total = size.cumsum(2)[:, :, :-1], total.cumsum(2)[:, :, :-1]
                 with np.errstate(divide="ignore", invalid="ignore"):
