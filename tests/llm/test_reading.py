@@ -69,7 +69,7 @@ def test_validation_has_no_part_in_its_own_figures():
     text = rng.permutation(n) * 7 + 1
     source = np.array(["a", "b", "c"])[np.arange(n) % 3]
     text[3:6] = text[0]  # copies of one text in all sources
-    sample = R.Sample(features, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), y, source, text)
+    sample = R.Sample(features, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), y, source, text)
     held = np.zeros(n)
     for g in "abc":
         _, _, _, mine, guess = sample.fit_without(g)
@@ -79,7 +79,7 @@ def test_validation_has_no_part_in_its_own_figures():
         mine = source == g
         want = np.abs(np.interp(held[mine], *isotonic(held[~mine], y[~mine])) - y[mine]).mean()
         assert abs(report.loc[g, "mean_abs_error"] - want) < 1e-12 and report.loc[g, "n"] == mine.sum()
-    changed = R.Sample(features, sample.hashes, sample.counts, sample.docs, np.where(source == "a", 5.0, np.where(np.isin(text, text[source == "a"]), 5.0, y)), source, text)
+    changed = R.Sample(features, sample.words, sample.code, sample.counts, sample.docs, np.where(source == "a", 5.0, np.where(np.isin(text, text[source == "a"]), 5.0, y)), source, text)
     _, _, _, mine, guess = changed.fit_without("a")
     assert np.array_equal(guess, held[mine])  # neither labels of the source nor those of copies elsewhere matter
 

@@ -132,28 +132,24 @@ def describe(text: str) -> tuple[list[float], np.ndarray, np.ndarray, bool]:
     return features, np.array([f[0] for f in facts], np.int64), np.array(each, np.int64), english
 
 
-def _grades(hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes and their grades from the documents marked in ``use``; words of fewer than three documents have none."""
+def _grades(code: np.ndarray, docs: np.ndarray, y: np.ndarray, use: np.ndarray, n_words: int) -> np.ndarray:
+    """Grade of every word from the documents marked in ``use``; words of fewer than three of them have none (not a number)."""
     keep = use[docs]
-    words, code = np.unique(hashes[keep], return_inverse=True)
-    if not len(words):
-        return words, np.zeros(0)
-    seen = np.bincount(code)
-    total = np.bincount(code, weights=y[docs[keep]])
-    mean = y[use].mean()
-    common = seen >= 3
-    return words[common], ((total + 2.0 * mean) / (seen + 2.0))[common]
-
-
-def _grade_features(hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray, n_docs: int, words: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Distribution of each document's words over the grades: share per bin, mean, spread, and share of known words."""
+    if not keep.any():
+        return np.full(n_words, np.nan)
+    seen = np.bincount(code[keep], minlength=n_words)
+    total = np.bincount(code[keep], weights=y[docs[keep]], minlength=n_words)
+    return np.where(seen >= 3, (total + 2.0 * y[use].mean()) / (seen + 2.0), np.nan)
+
+
+def _grade_features(grade: np.ndarray, counts: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
+    """Distribution of each document's words over the grades: share per bin, mean, spread, and share of known words. grade: of each word of each document."""
     width = len(GRADE_BINS) + 1
     out = np.zeros((n_docs, width + 3))
     total = np.maximum(np.bincount(docs, weights=counts, minlength=n_docs), 1)
-    if len(words) and len(hashes):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        known = words[at] == hashes
-        d, c, g = docs[known], counts[known].astype(float), grades[at[known]]
+    known = ~np.isnan(grade)
+    if known.any():
+        d, c, g = docs[known], counts[known].astype(float), grade[known]
         n = np.maximum(np.bincount(d, weights=c, minlength=n_docs), 1)
         out[:, :width] = np.bincount(d * width + np.searchsorted(GRADE_BINS, g), weights=c, minlength=n_docs * width).reshape(n_docs, width) / n[:, None]
         mean = np.bincount(d, weights=c * g, minlength=n_docs) / n
@@ -172,28 +168,21 @@ class Model:
     validation: pd.DataFrame
 
     def grade(self, features: np.ndarray, hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        x = np.hstack([features, _grade_features(hashes, counts, docs, len(features), self.words, self.grades)])
+        grade = np.full(len(hashes), np.nan)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            grade = np.where(self.words[at] == hashes, self.grades[at], np.nan)
+        x = np.hstack([features, _grade_features(grade, counts, docs, len(features))])
         return np.clip(np.interp(self.trees.predict(x), *self.knots), 1, 5)
 
 
-def _fit_part(features, hashes, counts, docs, y, fold, use):  # noqa: ANN001, ANN202
-    """Trees and word grades from the documents in ``use``; the grades behind each training document exclude its own fold."""
-    x = np.zeros((len(y), len(GRADE_BINS) + 4))
-    for k in np.unique(fold[use]):
-        words, grades = _grades(hashes, counts, docs, y, use & (fold != k))
-        mine = use & (fold == k)
-        x[mine] = _grade_features(hashes, counts, docs, len(y), words, grades)[mine]
-    words, grades = _grades(hashes, counts, docs, y, use)
-    trees = Boosted().fit(np.hstack([features, x])[use], y[use])
-    return trees, words, grades
-
-
 @dataclass
 class Sample:
-    """Labelled documents: features, word hashes with counts and the number of their document, levels, sources, and a hash of each text."""
+    """Labelled documents: features, words (sorted hashes), for each word of each document its number, count and document, levels, sources, and a hash of each text."""
 
     features: np.ndarray
-    hashes: np.ndarray
+    words: np.ndarray
+    code: np.ndarray
     counts: np.ndarray
     docs: np.ndarray
     y: np.ndarray
@@ -213,9 +202,17 @@ class Sample:
         mine = np.flatnonzero(out)
         if use.sum() < 20:
             return Boosted(), np.zeros(0, np.int64), np.zeros(0), mine, np.full(len(mine), np.nan)
-        trees, words, grades = _fit_part(self.features, self.hashes, self.counts, self.docs, self.y, self.text % 5, use)
-        x = np.hstack([self.features, _grade_features(self.hashes, self.counts, self.docs, len(self.y), words, grades)])
-        return trees, words, grades, mine, trees.predict(x[mine])
+        n, fold = len(self.y), self.text % 5
+        x = np.zeros((n, len(GRADE_BINS) + 4))
+        for k in np.unique(fold[use]):  # the grades behind a training document exclude its own fold
+            grade = _grades(self.code, self.docs, self.y, use & (fold != k), len(self.words))
+            part = use & (fold == k)
+            x[part] = _grade_features(grade[self.code], self.counts, self.docs, n)[part]
+        trees = Boosted().fit(np.hstack([self.features, x])[use], self.y[use])
+        grade = _grades(self.code, self.docs, self.y, use, len(self.words))
+        own = np.hstack([self.features, _grade_features(grade[self.code], self.counts, self.docs, n)])[mine]
+        known = ~np.isnan(grade)
+        return trees, self.words[known], grade[known], mine, trees.predict(own)
 
 
 def curve(held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +273,8 @@ def train(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS)
         raise ValueError("a reading model needs at least 20 labelled English documents")
     words, counts = ([np.asarray(v) for v in got[c]] for c in ("hashes", "counts"))
     docs = np.repeat(np.arange(len(got)), [len(w) for w in words])
-    return fit(documents.sparkSession, Sample(np.array(got["features"].tolist()), np.concatenate(words), np.concatenate(counts), docs, got["y"].to_numpy(float), got["source"].to_numpy(str), got["hash"].to_numpy()))
+    known, code = np.unique(np.concatenate(words), return_inverse=True)
+    return fit(documents.sparkSession, Sample(np.array(got["features"].tolist()), known, code.astype("int32"), np.concatenate(counts), docs, got["y"].to_numpy(float), got["source"].to_numpy(str), got["hash"].to_numpy()))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
