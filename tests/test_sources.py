@@ -92,6 +92,63 @@ def test_archives(spark, tmp_path):
     assert [r["cache_name"] for r in saved] == [clips[1][1]]
 
 
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    """Plain entries in pieces, and what follows an extended header or a break, as tarfile reads it."""
+    plain = [(f"{i:064x}.mp3", bytes([i % 256]) * (i % 1200)) for i in range(16_000)]
+    odd = [("d/" * 80 + "long.mp3", b"x" * 600), ("é.mp3", b"y"), ("last.mp3", b"z" * 3000)]
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    with tarfile.open(folder / "whole.tar", "w") as tar:
+        for name, content in [*plain, *odd]:
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            tar.addfile(info, io.BytesIO(content))
+    rows = archives.read_members(spark, f"{folder}/whole.tar").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["name"], bytes(r["payload"]), r["bytes"], r["regular"], r["complete"]) for r in rows) == sorted((n, c, len(c), True, True) for n, c in [*plain, *odd])
+    assert len({r["task"] for r in rows}) > 1
+    data = (folder / "whole.tar").read_bytes()
+    for name, content, whole, broken in (("cut.tar", data[: data.index(b"last.mp3") + 1024], [*plain, *odd[:2]], 1), ("short.tar", data[:1024], plain[:1], 1), ("header.tar", data[:2000], plain[:2], 0), ("zeros.tar", bytes(10_240), [], 0)):
+        (folder / name).write_bytes(content)
+        rows = archives.read_members(spark, f"{folder}/{name}").collect()
+        assert sorted((r["name"], bytes(r["payload"])) for r in rows if r["complete"]) == sorted(whole) and sum(not r["complete"] for r in rows) == broken, name
+
+
+def test_archives_are_read_once_when_verified(spark, tmp_path):
+    clips = [(f"r{i}", f"{i:064x}.mp3", "cache", "", b"x" * i) for i in range(40)]
+    manifest = archives.write_archives(spark.createDataFrame(clips, "row_key string, cache_name string, source string, error string, payload binary"), str(tmp_path / "cache"), 2)
+    read = tmp_path / "read"
+
+    def noted(batches):
+        for batch in batches:
+            with open(read, "a") as out:
+                out.write("\n" * len(batch))
+            yield batch
+
+    members = archives.read_members(spark, f"{tmp_path}/cache/*.tar")
+    back = archives.verified(members.mapInPandas(noted, members.schema), manifest)
+    assert sorted((r["row_key"], bytes(r["payload"])) for r in back.collect()) == sorted((c[0], c[4]) for c in clips)
+    assert len(read.read_text()) == 40
+
+
+def test_archives_are_those_of_tarfile(spark, tmp_path):
+    clips = [(f"r{i}", name, "cache", "", bytes([i]) * size) for i, (name, size) in enumerate([("a" * 64 + ".mp3", 0), ("b.mp3", 511), ("é.mp3", 512), ("c" * 120, 513), ("b.mp3", 511)])]
+    clips[4] = (*clips[4][:4], clips[1][4])
+    df = spark.createDataFrame(clips, "row_key string, cache_name string, source string, error string, payload binary").coalesce(1)
+    manifest = archives.write_archives(df, str(tmp_path / "cache"), 1)
+    assert sorted((r["row_key"], r["bytes"]) for r in manifest.collect()) == sorted((c[0], len(c[4])) for c in clips)
+    payload = {c[1]: c[4] for c in clips}
+    data, again = (tmp_path / "cache" / "audio-00000.tar").read_bytes(), io.BytesIO()
+    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+        names = tar.getnames()
+    with tarfile.open(fileobj=again, mode="w|") as tar:
+        for name in names:
+            info = tarfile.TarInfo(name)
+            info.size = len(payload[name])
+            tar.addfile(info, io.BytesIO(payload[name]))
+    assert sorted(names) == sorted(payload) and data == again.getvalue()
+    assert [json.loads(x)["row_key"] for x in (tmp_path / "cache" / "audio-00000.jsonl").read_text().splitlines()] == [r["row_key"] for r in manifest.collect()]
+
+
 def test_wav(spark):
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
